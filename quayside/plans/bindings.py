@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside import constants as K
-from quayside.sources.tables import read_table
+from quayside.sources.tables import read_table, spread
 
 
 def _mix(a: Column, b: Column, c: Column | int, n: int) -> Column:
@@ -53,26 +53,25 @@ def documents_of_batches(spark: SparkSession, base: str) -> DataFrame:
 
 def observations(spark: SparkSession, base: str) -> DataFrame:
     """Central fact table: one engine's reading of one field of one document."""
-    docs = documents_of_batches(spark, base)
-    order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    money = F.col("l_extendedprice").cast("decimal(18,2)")
-    tariff = F.lpad(part.cast("string"), 8, "0")
-    readings = []
-    for rank, engine in enumerate(K.ENGINES, start=1):
-        seen = F.pmod(order + part * 3 + F.lit(5 * rank), F.lit(17)) != 0
-        conf = (F.lit(60) + F.pmod(part * 3 + F.lit(11 * rank), F.lit(40))) / F.lit(100.0)
-        packages = F.col("l_quantity").cast("bigint") + F.when(_mix(order, part, rank, 10) == 0, 1).otherwise(0)
-        weight = {2: F.format_number(money, 2), 3: F.concat(money.cast("string"), F.lit(" KGS"))}.get(rank, money.cast("string"))
-        code = F.when(_mix(order, part, rank, 25) == 0, F.left(tariff, F.lit(6))).otherwise(tariff)
-        vessel = F.concat(F.lit("M/V SUPPLIER " if rank % 2 == 0 else "Supplier "), supp.cast("string"))
-        for field, value in [("total_packages", packages.cast("string")), ("gross_weight", weight), ("hs_code", code), ("vessel_name", vessel)]:
-            readings.append(
-                F.struct(
-                    F.lit(engine).alias("engine"), F.lit(rank).alias("engine_rank"), F.lit(field).alias("field"),
-                    F.when(seen, value).alias("value"), conf.alias("confidence"),
-                )
-            )
-    return docs.select("batch_id", "doc_id", "doc_type", F.inline(F.array(*readings)))
+    docs = spread(documents_of_batches(spark, base), "batch_id", "doc_id")
+    order, part, supp, rank = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("engine_rank")
+    ranks = F.array(*[F.lit(r) for r in range(1, len(K.ENGINES) + 1)])
+    engines = F.array(*[F.lit(e) for e in K.ENGINES])
+    read = docs.withColumn("engine_rank", F.explode(ranks)).select(
+        "batch_id", "doc_id", "doc_type", F.element_at(engines, rank).alias("engine"), rank,
+        (F.pmod(order + part * 3 + rank * 5, F.lit(17)) != 0).alias("seen"),
+        ((F.lit(60) + F.pmod(part * 3 + rank * 11, F.lit(40))) / F.lit(100.0)).alias("confidence"),
+        (F.col("l_quantity").cast("bigint") + F.when(_mix(order, part, rank, 10) == 0, 1).otherwise(0)).alias("packages"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("money"),
+        F.lpad(part.cast("string"), 8, "0").alias("tariff"), _mix(order, part, rank, 25).alias("cut"), supp.alias("supp"),
+    )
+    money = F.col("money")
+    weight = F.when(rank == 2, F.format_number(money, 2)).when(rank == 3, F.concat(money.cast("string"), F.lit(" KGS"))).otherwise(money.cast("string"))
+    code = F.when(F.col("cut") == 0, F.left("tariff", F.lit(6))).otherwise(F.col("tariff"))
+    vessel = F.concat(F.when(rank % 2 == 0, "M/V SUPPLIER ").otherwise("Supplier "), F.col("supp").cast("string"))
+    values = {"total_packages": F.col("packages").cast("string"), "gross_weight": weight, "hs_code": code, "vessel_name": vessel}
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(F.col("seen"), v).alias("value")) for f, v in values.items()])
+    return read.select("batch_id", "doc_id", "doc_type", "engine", "engine_rank", F.inline(cells), "confidence")
 
 
 def batch_scores(spark: SparkSession, base: str) -> DataFrame:

@@ -32,3 +32,12 @@ def size_in_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast hint only when the estimated size is within ``max_bytes``; else the planner decides."""
     return F.broadcast(df) if size_in_bytes(df) <= max_bytes else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Split an input with fewer partitions than cores before an operator multiplies its rows.
+
+    Large inputs already have a split per block and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
