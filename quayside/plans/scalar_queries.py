@@ -57,7 +57,7 @@ def _carrier_date(spark, base):
     return raw_dates(spark, base).select("batch_id", N.normalize_carrier_date(F.col("carrier_raw")).alias("iso"))
 
 
-@query("valid_date", "SELECT o_orderkey AS batch_id, o_orderkey % 11 IN (0, 1, 3, 4, 9) OR (o_orderkey % 11 = 5 AND month(o_orderdate) = 5) AS ok FROM orders")
+@query("valid_date", "SELECT o_orderkey AS batch_id, o_orderkey % 11 IN (0, 1, 3, 4) OR (o_orderkey % 11 = 9 AND day(o_orderdate) <= 12) OR (o_orderkey % 11 IN (5, 6) AND month(o_orderdate) = 5) AS ok FROM orders")
 def _valid_date(spark, base):
     return raw_dates(spark, base).select("batch_id", V.valid_date(F.col("raw")).alias("ok"))
 
@@ -236,7 +236,7 @@ def _format(spark, base):
 
 @query("compare_normalize", oracle("""SELECT doc_id, engine, field,
     CASE WHEN field = 'gross_weight' THEN rtrim(rtrim(replace(replace(value, ',', ''), ' KGS', ''), '0'), '.') WHEN field = 'total_packages' THEN value ELSE lower(value) END AS form,
-    CASE WHEN field IN ('total_packages', 'hs_code') OR (field = 'gross_weight' AND engine_rank IN (1, 4)) THEN value::DECIMAL(30,4)::VARCHAR ELSE upper(value) END AS across,
+    coalesce(try_cast(value AS DECIMAL(30,4))::VARCHAR, upper(value)) AS across,
     regexp_replace(lower(value), '[^a-z0-9]+', '', 'g') AS bare FROM b2""", "b2"))
 def _compare(spark, base):
     f, v = F.col("field"), F.col("value")
@@ -304,10 +304,9 @@ def _extract(spark, base):
 
 
 @query("rule_based_candidates", oracle(f"""SELECT doc_id, 'rule_based' AS engine, field, value, 0.68::DOUBLE AS confidence FROM (SELECT doc_id,
-    unnest(['importer_npwp','total_packages','currency']) AS field, unnest([{_TAXRAW}, l_quantity::BIGINT::VARCHAR, 'USD']) AS value FROM docs)""", "docs"))
+    unnest(['importer_npwp','total_packages','gross_weight','cif_value']) AS field, unnest([{_TAXRAW}, l_quantity::BIGINT::VARCHAR, l_extendedprice::VARCHAR, l_extendedprice::VARCHAR]) AS value FROM docs)""", "docs"))
 def _candidates(spark, base):
-    fields = {f: c for f, c in X.fallback_fields(F.col("text")).items() if f in ("importer_npwp", "total_packages", "currency")}
-    return X.as_observations(text_blocks(spark, base), ["doc_id"], fields, "rule_based", X.FALLBACK_CONFIDENCE)
+    return X.as_observations(text_blocks(spark, base), ["doc_id"], X.fallback_fields(F.col("text")), "rule_based", X.FALLBACK_CONFIDENCE)
 
 
 def typed_blocks(spark, base) -> DataFrame:
