@@ -49,16 +49,16 @@ def text_search(df: DataFrame, text: str, cols: Sequence[str]) -> DataFrame:
 
 
 def visible_to(df: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Rows each user may see: their own company's, or all of them for an admin or supervisor.
+    """Who may see each row: every member of its company by name, and the all-seeing staff as one group.
 
-    One row per (user, batch). Company members join on the company; the few all-seeing users are a
-    bounded staff list and are attached as a broadcast.
+    Staff (admins and supervisors) see everything, so listing them per row would multiply the
+    table by the number of staff; one ``staff`` row per batch says the same.
     """
-    staff = profiles.where(F.col("role").isin("admin", "supervisor")).select("user_id")
-    member = profiles.where(~F.col("role").isin("admin", "supervisor")).select("user_id", "company_id")
-    own = df.join(member, "company_id").select("user_id", *df.columns)
-    everything = df.join(F.broadcast(staff)).select("user_id", *df.columns)
-    return own.unionByName(everything)
+    member = profiles.where(~F.col("role").isin("admin", "supervisor")).select(
+        "company_id", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("viewer")
+    )
+    own = df.join(member, "company_id").select("viewer", *df.columns)
+    return own.unionByName(df.select(F.lit("staff").alias("viewer"), *df.columns))
 
 
 def visible_batches(df: DataFrame, profiles: DataFrame, user) -> DataFrame:

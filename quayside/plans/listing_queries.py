@@ -67,13 +67,13 @@ def _last(spark, base):
 _PROFILES = """SELECT c_custkey AS user_id, c_custkey AS company_id, CASE WHEN c_acctbal > 9990 THEN 'supervisor' WHEN c_acctbal > 0 THEN 'importer' ELSE 'operator' END AS role FROM customer"""
 
 
-@query("tenant_filter", oracle("""SELECT user_id, batch_id, status FROM b1 JOIN prof ON b1.company_id = prof.company_id WHERE role NOT IN ('admin', 'supervisor')
-    UNION ALL SELECT user_id, batch_id, status FROM b1, prof WHERE role IN ('admin', 'supervisor')""", "b1", prof=_PROFILES))
+@query("tenant_filter", oracle("""SELECT 'user ' || user_id::VARCHAR AS viewer, batch_id, status FROM b1 JOIN prof ON b1.company_id = prof.company_id WHERE role NOT IN ('admin', 'supervisor')
+    UNION ALL SELECT 'staff', batch_id, status FROM b1""", "b1", prof=_PROFILES))
 def _tenant(spark, base):
     c = read_table(spark, base, "customer", ["c_custkey", "c_acctbal"])
     role = F.when(F.col("c_acctbal") > 9990, "supervisor").when(F.col("c_acctbal") > 0, "importer").otherwise("operator")
     profiles = c.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("company_id"), role.alias("role"))
-    return L.visible_to(B.batches(spark, base), profiles).select("user_id", "batch_id", "status")
+    return L.visible_to(B.batches(spark, base), profiles).select("viewer", "batch_id", "status")
 
 
 @query("completeness", rec_sql("""SELECT batch_id, count(DISTINCT CASE WHEN field IN ('total_packages', 'gross_weight') AND value IS NOT NULL AND value NOT IN ('', '0', '0.0') THEN field END) / 6.0::DOUBLE AS completeness FROM rec GROUP BY 1"""))
