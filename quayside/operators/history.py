@@ -138,15 +138,19 @@ def aju_sequence(batches: DataFrame) -> DataFrame:
 def rolling_rejection(batches: DataFrame, keys: Sequence[str], days: int = 30) -> DataFrame:
     """Trailing rejection rate before each row's time stamp.
 
-    Rows are reduced to one per key and time stamp, so the window runs over time stamps, not rows.
+    Every time stamp adds its rows once and takes them out again ``days`` later, so the trailing
+    figure is a running sum of these changes, which stays parallel inside a busy company.
     """
     at = F.unix_seconds("created_at")
     per = batches.groupBy(*keys, at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("r"))
-    w = Window.partitionBy(*keys).orderBy("at").rangeBetween(-days * 86400, -1)
-    trailing = per.select(*keys, "at", F.sum("n").over(w).alias("prior"), F.sum("r").over(w).alias("prior_rejected"))
+    out = per.select(*keys, (F.col("at") + days * 86400).alias("at"), (-F.col("n")).alias("n"), (-F.col("r")).alias("r"))
+    changes = per.unionByName(out).groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
+    trailing = running(
+        changes, keys, [F.col("at")], F.floor(F.col("at") / 86400), {"prior": ("sum", F.col("n")), "prior_rejected": ("sum", F.col("r"))}, include_current=False
+    ).drop("n", "r")
     return batches.withColumn("at", at).join(trailing, [*keys, "at"]).drop("at").withColumn(
         "rolling_rate", rnd(F.coalesce(F.try_divide("prior_rejected", "prior"), F.lit(0.0)), 6)
-    ).withColumn("prior", F.coalesce("prior", F.lit(0)))
+    )
 
 
 def days_since_rejection(batches: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def _aju(spark, base):
     return H.aju_sequence(B.batches(spark, base)).select("batch_id", "aju")
 
 
-@query("rolling_rejection", oracle(f"""SELECT batch_id, coalesce(prior, 0) AS prior, {_r('coalesce(r / prior::DOUBLE, 0)', 6)} AS rolling_rate FROM (SELECT batch_id, count(*) OVER w AS prior, count(*) FILTER (rejected) OVER w AS r FROM b1
+@query("rolling_rejection", oracle(f"""SELECT batch_id, coalesce(prior, 0) AS prior, {_r('coalesce(r / nullif(prior, 0)::DOUBLE, 0)', 6)} AS rolling_rate FROM (SELECT batch_id, count(*) OVER w AS prior, count(*) FILTER (rejected) OVER w AS r FROM b1
     WINDOW w AS (PARTITION BY company_id ORDER BY created_at RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 SECOND PRECEDING))""", "b1"))
 def _rolling(spark, base):
     return H.rolling_rejection(B.batches(spark, base), ["company_id"]).select("batch_id", "prior", "rolling_rate")
