@@ -214,14 +214,14 @@ def _sink(spark, base):
     )
 
 
-_HASH = """SELECT batch_id, sha256('{"cif":' || cif_value::BIGINT::VARCHAR || ',"company":' || company_id::VARCHAR || ',"importer":"' || importer || '","tier":"' || tier || '"}') AS content_hash FROM b1"""
+_HASH = """SELECT batch_id, sha256('{"cif":' || floor(cif_value)::BIGINT::VARCHAR || ',"company":' || company_id::VARCHAR || ',"importer":"' || importer || '","tier":"' || tier || '"}') AS content_hash FROM b1"""
 
 
 def batch_hashes(spark, base) -> DataFrame:
     from quayside.functions.hashing import content_hash
 
     b = B.batches(spark, base)
-    cols = {"cif": F.round("cif_value").cast("bigint"), "company": F.col("company_id"), "importer": F.col("importer"), "tier": F.col("tier")}
+    cols = {"cif": F.floor("cif_value"), "company": F.col("company_id"), "importer": F.col("importer"), "tier": F.col("tier")}
     return b.select("batch_id", content_hash(cols).alias("content_hash"))
 
 

@@ -41,7 +41,10 @@ def batches(spark: SparkSession, base: str) -> DataFrame:
 
 def documents_of_batches(spark: SparkSession, base: str) -> DataFrame:
     """One row per shipping document: a line of an order."""
-    li = read_table(spark, base, "lineitem")
+    return shape_documents(read_table(spark, base, "lineitem"))
+
+
+def shape_documents(li: DataFrame) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("batch_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("doc_id"),
@@ -53,7 +56,10 @@ def documents_of_batches(spark: SparkSession, base: str) -> DataFrame:
 
 def observations(spark: SparkSession, base: str) -> DataFrame:
     """Central fact table: one engine's reading of one field of one document."""
-    docs = spread(documents_of_batches(spark, base), "batch_id", "doc_id")
+    return shape_observations(spread(documents_of_batches(spark, base), "batch_id", "doc_id"))
+
+
+def shape_observations(docs: DataFrame) -> DataFrame:
     order, part, supp, rank = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("engine_rank")
     ranks = F.array(*[F.lit(r) for r in range(1, len(K.ENGINES) + 1)])
     engines = F.array(*[F.lit(e) for e in K.ENGINES])

@@ -26,7 +26,7 @@ def read_jdbc(spark: SparkSession, url: str, name: str, cols: Sequence[str], whe
 
 def size_in_bytes(df: DataFrame) -> int:
     """Planner's estimate of a frame's size, from file sizes and statistics; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
