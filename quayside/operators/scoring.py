@@ -124,24 +124,38 @@ def top_features(df: DataFrame, features: Mapping[str, Column], keys: Sequence[s
     )
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by rank sums with ties halved; one half when a class is missing.
 
     Rows are reduced to counts per distinct score before anything is ordered, and the ordering
     runs per score bucket.
     """
-    per = df.groupBy(F.col(score).alias("s")).agg(
+    per = df.groupBy(*keys, F.col(score).alias("s")).agg(
         F.sum(F.when(F.col(label), 1).otherwise(0)).cast("bigint").alias("pos"), F.sum(F.when(F.col(label), 0).otherwise(1)).cast("bigint").alias("neg")
     )
-    ranked = running(per, [], [F.col("s")], F.floor(F.col("s") * 1000), {"below": ("sum", F.col("neg"))}, include_current=False)
-    total = ranked.agg(
-        F.sum(F.col("pos").cast("decimal(38,1)") * (F.col("below") + F.col("neg") * F.lit(0.5).cast("decimal(2,1)")).cast("decimal(20,1)")).cast("double").alias("hits"),
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-    )
-    return total.select(
-        "positives", "negatives",
-        F.when((F.col("positives") > 0) & (F.col("negatives") > 0), rnd(F.col("hits") / (F.col("positives").cast("double") * F.col("negatives")), 6)).otherwise(0.5).alias("auc"),
-    )
+    ranked = running(per, keys, [F.col("s")], F.floor(F.col("s") * 1000), {"below": ("sum", F.col("neg"))}, include_current=False)
+    half = F.lit(0.5).cast("decimal(2,1)")
+    hits = F.col("pos").cast("decimal(20,1)") * (F.col("below") + F.col("neg") * half).cast("decimal(17,1)")
+    total = ranked.groupBy(*keys).agg(F.sum(hits).cast("double").alias("hits"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    both = (F.col("positives") > 0) & (F.col("negatives") > 0)
+    area = F.when(both, F.coalesce(F.try_divide("hits", F.col("positives").cast("double") * F.col("negatives")), F.lit(0.5))).otherwise(0.5)
+    return total.select(*keys, "positives", "negatives", rnd(area, 6).alias("auc"))
+
+
+def promotions(registry: DataFrame, keys: Sequence[str] = (), max_drop: float = 0.02) -> DataFrame:
+    """Which model versions replaced the one in use: each is compared with the last promoted one.
+
+    A registry has one row per training run, so its history folds inside one row.
+    """
+    runs = registry.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("version", "auc"))).alias("runs"))
+    start = F.struct(F.lit(None).cast("double").alias("current"), F.array().cast("array<struct<version:string,auc:double,promoted:boolean>>").alias("out"))
+
+    def step(acc: Column, run: Column) -> Column:
+        ok = promote(run["auc"], acc["current"], max_drop)
+        row = F.struct(run["version"].alias("version"), run["auc"].alias("auc"), ok.alias("promoted"))
+        return F.struct(F.when(ok, run["auc"]).otherwise(acc["current"]).alias("current"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return runs.select(*keys, F.inline(F.aggregate("runs", start, step, lambda acc: acc["out"])))
 
 
 def promote(candidate_auc: Column, current_auc: Column, max_drop: float = 0.02) -> Column:

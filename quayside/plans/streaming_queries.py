@@ -92,12 +92,12 @@ def _positions(spark, base):
 @query("validate_stream", oracle("""SELECT 'CV001' AS rule_id, count(*) AS checked, count(*) FILTER (length(value) = 8) AS passed, round((count(*) FILTER (length(value) = 8) / count(*)::DOUBLE)::DECIMAL(18,8), 6)::DOUBLE AS pass_rate
     FROM (SELECT CASE WHEN length(value) = 6 THEN value || '00' ELSE value END AS value FROM b2 WHERE field = 'hs_code')""", "b2"))
 def _validate(spark, base):
-    rules = load_rules(spark).where("id in ('CV001')")
+    rules = load_rules(spark).where("type in ('regex', 'regex_and_lookup', 'lookup')")
     lines = B.shape_documents(R.table_stream(spark, base, "lineitem"))
     obs = B.shape_observations(lines).where("field = 'hs_code'").select(
         "batch_id", F.concat_ws("/", "doc_id", "engine").alias("doc_id"), "field", normalize_field(F.col("field"), F.col("value")).alias("value")
     )
-    return R.each_batch_to_table(obs, "validate", lambda rows: J.validation_summary_of_batch(rows, rules))
+    return J.rule_pass_rates(R.each_batch_to_table(obs, "validate", lambda rows: J.rule_counts(rows, rules)))
 
 
 @query("latency_windows", oracle("""SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n, max(amount) AS slowest, quantile_disc(amount, 0.95) AS p95, count(*) FILTER (amount >= 0 AND amount < 25) AS from_0, count(*) FILTER (amount >= 25 AND amount < 50) AS from_25,

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quayside import constants as K
 from quayside.functions.common import rnd
+from quayside.operators.rules import document_rules
 
 LATE = "2 days"
 
@@ -174,9 +175,13 @@ def expiry(log: DataFrame, hours: int = 48, terminal=tuple(K.TERMINAL_STATUSES))
     )
 
 
-def validation_summary_of_batch(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """Work of one micro-batch of the validation stream: format rules, then one summary row per rule."""
-    from quayside.operators.rules import document_rules
+def rule_counts(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """Work of one micro-batch of the validation stream: format rules, counted per rule."""
+    return document_rules(fields, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if("passed").alias("passed"))
 
-    done = document_rules(fields, rules)
-    return done.groupBy("rule_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if("passed").alias("passed"), rnd(F.count_if("passed") / F.count(F.lit(1)), 6).alias("pass_rate"))
+
+def rule_pass_rates(counts: DataFrame) -> DataFrame:
+    """Pass rate per rule over the counts of all micro-batches."""
+    return counts.groupBy("rule_id").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed")).withColumn(
+        "pass_rate", rnd(F.col("passed") / F.col("checked"), 6)
+    )
