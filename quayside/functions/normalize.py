@@ -192,7 +192,7 @@ def safe_int(c: Column) -> Column:
 
 
 def locale_float(c: Column) -> Column:
-    """Reads both 11,603.000 (comma groups thousands) and 11.603,000 (comma is the decimal mark)."""
+    """Reads both 11,603.000 (comma groups thousands) and 11.603,00 (comma is the decimal mark); a comma before three last digits groups."""
     text = F.trim(c)
     grouped = F.regexp_replace(text, ",", "")
     decimal_comma = F.regexp_replace(F.regexp_replace(text, r"\.", ""), ",", ".")

@@ -131,8 +131,10 @@ def merkle_roots(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
         grouped = nodes.groupBy("batch_id", "size", F.floor(F.col("i") / block).alias("b")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: x["node"]).alias("nodes")
         )
-        nodes = grouped.select(
-            "batch_id", F.ceil(F.col("size") / block).alias("size"), F.col("b").alias("i"), _fold(F.col("nodes"), levels, F.col("size") <= block).alias("node")
+        # "only" has its own name: inside the fold a name is looked up among the new columns first
+        marked = grouped.withColumn("only", F.col("size") <= block)
+        nodes = marked.select(
+            "batch_id", F.ceil(F.col("size") / block).alias("size"), F.col("b").alias("i"), _fold(F.col("nodes"), levels, F.col("only")).alias("node")
         )
     return nodes.select("batch_id", F.lower(F.hex("node")).alias("merkle_root"))
 
