@@ -28,8 +28,8 @@ def digits(c: Column) -> Column:
 
 def plain_number(c: Column, places: int) -> Column:
     """Decimal text with at least one fraction digit and no trailing zeros (12.50 -> 12.5, 9.000 -> 9.0)."""
-    text = F.round(c.cast("decimal(30,8)"), places).cast(f"decimal(30,{places})").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ".0")
+    text = F.rtrim(F.round(c.cast("decimal(30,8)"), places).cast(f"decimal(30,{places})").cast("string"), F.lit("0"))
+    return F.when(F.endswith(text, F.lit(".")), F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def as_double(c: Column) -> Column:

@@ -98,10 +98,9 @@ def normalize_nib(c: Column) -> Column:
 
 
 def normalize_vessel(c: Column) -> Column:
-    name = F.upper(F.trim(c))
-    for prefix in K.VESSEL_PREFIXES:
-        name = F.trim(F.regexp_replace(name, "^" + prefix, ""))
-    return name
+    """Upper case without ship prefixes; each known prefix is dropped once, in the order of the list."""
+    prefixes = "".join(f"(?:{p})?" for p in K.VESSEL_PREFIXES)
+    return F.trim(F.regexp_replace(F.upper(F.trim(c)), f"^{prefixes}", ""))
 
 
 def normalize_vessel_for_carrier(c: Column, prefixes: Column, suffixes: Column) -> Column:

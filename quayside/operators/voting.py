@@ -185,44 +185,33 @@ def is_expected(doc_type: Column, field: Column) -> Column:
     return chain.otherwise(field.isin(K.COMMON_FIELDS))
 
 
-def expected_fields(docs: DataFrame) -> DataFrame:
+def expected_fields(docs: DataFrame, *extra: str) -> DataFrame:
     """Every expected field of every document, as rows; a map-side expansion without a join."""
     chain = None
     for name, fields in K.EXPECTED_FIELDS.items():
         names = F.array(*[F.lit(f) for f in fields])
         chain = F.when(F.col("doc_type") == name, names) if chain is None else chain.when(F.col("doc_type") == name, names)
     listed = chain.otherwise(F.array(*[F.lit(f) for f in K.COMMON_FIELDS]))
-    return docs.select("batch_id", "doc_id", "doc_type", F.explode(listed).alias("field"))
+    return docs.select("batch_id", "doc_id", "doc_type", *extra, F.explode(listed).alias("field"))
 
 
 def align(reconciled: DataFrame, docs: DataFrame) -> DataFrame:
     """Expected fields with their reconciled value; fields nobody read become MISSING rows.
 
-    The union and group-by form needs one shuffle and pre-aggregates, where an outer join would
-    shuffle the expanded expectation table as well.
+    The reconciled fields of a document (at most one row per field) are packed before they meet the
+    documents, and the expectation is expanded last, so the many MISSING rows are never shuffled.
     """
-    wanted = expected_fields(docs).select(
-        "batch_id", "doc_id", "doc_type", "field", F.lit(True).alias("wanted"),
-        F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("level"), F.lit(None).cast("boolean").alias("disagreement"),
+    keys = ["batch_id", "doc_id", "doc_type"]
+    packed = reconciled.where(is_expected(F.col("doc_type"), F.col("field"))).groupBy(*keys).agg(
+        F.collect_list(F.struct("field", "value", "confidence", "level", "disagreement")).alias("have")
     )
-    have = reconciled.where(is_expected(F.col("doc_type"), F.col("field"))).select(
-        "batch_id", "doc_id", "doc_type", "field", F.lit(False).alias("wanted"), "value", "confidence", "level", "disagreement"
-    )
-    return (
-        wanted.unionByName(have)
-        .groupBy("batch_id", "doc_id", "doc_type", "field")
-        .agg(
-            F.bool_or("wanted").alias("wanted"), F.max("value").alias("value"), F.max("confidence").alias("confidence"),
-            F.max("level").alias("level"), F.max("disagreement").alias("disagreement"),
-        )
-        .where("wanted")
-        .select(
-            "batch_id", "doc_id", "doc_type", "field", "value",
-            F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-            F.coalesce("level", F.lit("MISSING")).alias("level"),
-            F.coalesce("disagreement", F.lit(False)).alias("disagreement"),
-        )
+    listed = expected_fields(docs.select(*keys).distinct().join(packed, keys, "left"), "have")
+    found = listed.withColumn("hit", F.get(F.filter("have", lambda x: x["field"] == F.col("field")), 0))
+    return found.select(
+        *keys, "field", F.col("hit.value").alias("value"),
+        F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("hit.level", F.lit("MISSING")).alias("level"),
+        F.coalesce("hit.disagreement", F.lit(False)).alias("disagreement"),
     )
 
 

@@ -13,7 +13,7 @@ from quayside.functions.common import rnd
 from quayside.plans import bindings as B
 from quayside.plans.bindings import oracle
 from quayside.plans.catalog import query
-from quayside.sources.tables import read_table
+from quayside.sources.tables import read_table, spread
 
 
 def pick(selector: Column, *forms: Column) -> Column:
@@ -209,7 +209,7 @@ LONG_FIELDS = {
 
 def long_fields(spark, base) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("raw")) for f, c in LONG_FIELDS.items()])
-    return raw_codes(spark, base).select("batch_id", "doc_id", F.inline(cells))
+    return spread(raw_codes(spark, base), "doc_id").select("batch_id", "doc_id", F.inline(cells))
 
 
 _LONG_TRUTH = oracle(f"""SELECT doc_id, unnest(['container_number','hs_code','gross_weight','currency','cif_value','npwp','nib','vessel_name','port_loading_code']) AS field,
