@@ -145,11 +145,11 @@ def vectors(spark, base) -> DataFrame:
     return read_table(spark, base, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-@query("hs_topk", oracle("SELECT query_id, match_id, round(similarity, 3) AS similarity, place FROM ranked WHERE place <= 3", pairs=KNN, ranked=RANKED))
+@query("hs_topk", oracle(f"SELECT query_id, match_id, {_r('similarity', 3)} AS similarity, place FROM ranked WHERE place <= 3", pairs=KNN, ranked=RANKED))
 def _topk(spark, base):
     v = vectors(spark, base)
     found = S.nearest(spread(v.drop("label"), "id"), v.drop("label"), 10).where("place <= 3")
-    return found.select("query_id", "match_id", F.round("similarity", 3).alias("similarity"), "place")
+    return found.select("query_id", "match_id", rnd(F.col("similarity"), 3).alias("similarity"), "place")
 
 
 @query("hs_accuracy", oracle(f"""SELECT count(*) AS queries, {_r('count(*) FILTER (t1) / count(*)::DOUBLE', 6)} AS top1, {_r('count(*) FILTER (t3) / count(*)::DOUBLE', 6)} AS top3 FROM (SELECT query_id, bool_or(q.label = c.label AND place = 1) AS t1, bool_or(q.label = c.label AND place <= 3) AS t3
@@ -168,11 +168,11 @@ _TEXT = {
 }
 
 
-@query("text_knn", oracle("SELECT query_id, match_id, round(similarity, 4) AS similarity, place FROM ranked WHERE place <= 3", **_TEXT, ranked=RANKED))
+@query("text_knn", oracle("SELECT query_id, match_id, similarity, place FROM ranked WHERE place <= 3", **_TEXT, ranked=RANKED))
 def _text(spark, base):
     docs = read_table(spark, base, "documents").select(F.col("doc_id").alias("id"), "text")
     catalogue = read_table(spark, base, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return S.text_nearest(spread(docs, "id"), catalogue, 3).select("query_id", "match_id", F.round("similarity", 4).alias("similarity"), "place")
+    return S.text_nearest(spread(docs, "id"), catalogue, 3).select("query_id", "match_id", "similarity", "place")
 
 
 # --- declarations ---------------------------------------------------------------------------------------------------
