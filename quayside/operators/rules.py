@@ -28,21 +28,37 @@ def _named_check(rule: Column, value: Column, regex: Column) -> Column:
 
 
 def document_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """Format rules per document: an absent field gives no row, an empty one fails; of several fields the first present counts."""
-    dim = rule_fields(rules.where(F.col("type").isin("regex", "regex_and_lookup", "lookup")))
-    # a lookup passes over empty values, a pattern rule fails on them
-    tested = fields.join(F.broadcast(dim), "field").where((F.col("type") != "lookup") | F.col("value").isNotNull())
-    first = tested.groupBy("batch_id", "doc_id", "id", "name", "severity", "regex").agg(
-        F.min_by(F.struct("field", "value"), "place").alias("f")
-    )
-    value, field = F.col("f.value"), F.col("f.field")
-    passed = value.isNotNull() & _named_check(F.col("id"), value, F.col("regex"))
+    """Format rules per document: an absent field gives no row, an empty one fails; of several fields the first present counts.
+
+    Rules over one field (nearly all) are decided where the field row lies, without a shuffle; only
+    rules that choose among several fields group by document. The rules are configuration of a few
+    rows, so their field names are read first and reach the scan as a filter.
+    """
+    rules = rules.where(F.col("type").isin("regex", "regex_and_lookup", "lookup"))
+    names = [r["fields"] for r in rules.select("fields").collect()]
+    dim = rule_fields(rules)
+    alone = F.size("fields") == 1
+
+    def tested(wanted: list[str], which: Column) -> DataFrame:
+        rows = fields.where(F.col("field").isin(wanted)).join(F.broadcast(dim.where(which).drop("scope", "tolerance_pct", "fields")), "field")
+        # a lookup passes over empty values, a pattern rule fails on them
+        return rows.where((F.col("type") != "lookup") | F.col("value").isNotNull())
+
+    keys = ["batch_id", "doc_id", "id", "name", "severity", "regex"]
+    first = tested([n[0] for n in names if len(n) == 1], alone).select(*keys, "field", "value")
+    several = sorted({f for n in names if len(n) > 1 for f in n})
+    if several:
+        chosen = tested(several, ~alone).groupBy(*keys).agg(F.min_by(F.struct("field", "value"), "place").alias("f"))
+        first = first.unionByName(chosen.select(*keys, "f.field", "f.value"))
+    value, field = F.col("value"), F.col("field")
+    # the verdict is a column of its own before it is used twice, so the checks are generated once
+    judged = first.withColumn("passed", value.isNotNull() & _named_check(F.col("id"), value, F.col("regex")))
     message = F.when(value.isNull(), F.concat(F.lit("Field '"), field, F.lit("' is missing"))).when(
-        ~passed, F.concat(F.lit("Field '"), field, F.lit("' value '"), value, F.lit("' failed "), F.col("id"))
+        ~F.col("passed"), F.concat(F.lit("Field '"), field, F.lit("' value '"), value, F.lit("' failed "), F.col("id"))
     )
-    return first.select(
+    return judged.select(
         "batch_id", "doc_id", F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "severity",
-        passed.alias("passed"), message.alias("error_message"), F.array(field).alias("affected_fields"),
+        "passed", message.alias("error_message"), F.array(field).alias("affected_fields"),
     )
 
 

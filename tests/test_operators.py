@@ -166,3 +166,12 @@ def test_landing_folder(spark, tmp_path):
     assert got["bl_1.pdf"] == (True, None, "bill_of_lading", hashlib.sha256(b"%PDF-1.7 x").hexdigest())
     assert got["inv.png"][1] == "content does not match claimed type" and got["note.txt"][1] == "unsupported file type"
     assert got["packing.jpg"][:3] == (True, None, "packing_list") and got["big.pdf"][:2] == (False, "exceeds 50MB limit")
+
+
+def test_first_present_field_of_a_rule_counts(spark):
+    from quayside.sources.dims import load_rules
+
+    rows = [(1, "a", "port_loading_code", None), (1, "a", "port_discharge_code", "IDJKT"), (1, "b", "port_loading_code", "x"), (1, "b", "port_discharge_code", "IDJKT"), (1, "b", "nib", None)]
+    fields = spark.createDataFrame(rows, "batch_id bigint, doc_id string, field string, value string")
+    got = sorted((r["doc_id"], r["rule_id"], r["passed"], r["error_message"]) for r in R.document_rules(fields, load_rules(spark)).collect())
+    assert got == [("a", "CV011", True, None), ("b", "CV003", False, "Field 'nib' is missing"), ("b", "CV011", False, "Field 'port_loading_code' value 'x' failed CV011")]
