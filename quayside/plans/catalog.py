@@ -25,6 +25,8 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, base: str) -> DataFrame:
             apply_runtime_conf(spark)
+            # the test tables carry times without a zone, which are UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, base)
 
         QUERIES[name] = run
