@@ -43,8 +43,16 @@ MOST_WORDS = 500_000  # words whose ids a worker remembers
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
-    """Ids of texts by a public tokenizer that drops white space, so that words can be encoded once and remembered."""
+    """Ids of texts by a public tokenizer that folds case and drops white space, so that words can be encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
@@ -55,30 +63,38 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
 
+    def _core(self, core: str) -> bytes:
+        """Ids of letters without marks: the model is asked directly, which is several times faster than the whole tokenizer."""
+        runs = [core] if core.isascii() else [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(core)]
+        return np.array([t.id for run in runs for t in self.tokenizer.model.tokenize(run)], self.kind).tobytes()
+
     def _learn(self, words: set[str]) -> None:
         if len(self.cores) > MOST_WORDS:
             self.cores = {"": b""}
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for own in parts.values() for p in own if p not in self.cores})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[p] = np.array(e.ids, self.kind).tobytes()
-        for w, own in parts.items():
-            self.words[w] = b"".join(map(self.cores.__getitem__, own))
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """ASCII letters and the marks after them are encoded apart, as the tokenizer itself splits there."""
-        if word.isascii():
+        cores, plain = self.cores, []
+        for word in words:
             core = word.rstrip(_MARKS)
-            if core.isalpha():
-                return core.lower(), word[len(core) :]
-        return (word,)
+            if core.isalpha() and _latin1(core):
+                low, marks = core.lower(), word[len(core) :]
+                if (ids := cores.get(low)) is None:
+                    ids = cores[low] = self._core(low)
+                if marks and marks not in cores:
+                    cores[marks] = self._whole([marks])[0]
+                self.words[word] = ids + cores[marks]
+            else:
+                plain.append(word)
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
+            self.words.update(zip(some, self._whole(some)))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         known = self.words
-        split = [(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        # case does not matter to the tokenizer; Python folds it alike for the Latin-1 letters
+        folded = (text.lower() if _latin1(text) else text for text in (text or "" for text in texts))
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in folded]
         missing = {w for words in split for w in words if w not in known}
         whole = len(missing) <= MOST_WORDS // 2
         if whole:
