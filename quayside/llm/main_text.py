@@ -1,7 +1,7 @@
 """Main text of HTML pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of text segments and tags. Every word scores +1 unless an element around it belongs to
-the surroundings of an article; then it scores the element's weight. Tags score a little below
+the surroundings of an article, which the element's weight tells; then it scores -1. Tags score a little below
 zero. One linear scan finds the contiguous stretch with the greatest score (Kadane); the words inside it that score
 positive are the main text.
 
@@ -130,7 +130,7 @@ class Weights:
 
     def word(self, around: tuple[tuple[str, ...], ...]) -> float:
         worst = min((self.of.get(x, 0.0) for a in around for x in a), default=0.0)
-        return worst if worst <= -1 else 1.0
+        return -1.0 if worst <= -1 else 1.0
 
 
 def main_text(page: str | None, weights: Weights, tag_score: float = -0.05) -> str:
