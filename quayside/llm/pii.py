@@ -139,10 +139,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     pairs = written(pairs, "entity-terms")
     entities = found.where("kind IS NOT NULL").select("row", F.concat_ws(":", "kind", "value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c"))
-    counts = written(_document_counts(docs, pairs.select("term").distinct(), text_col), "term-documents")
     total = docs.count()
-    known = pairs.join(entities, "entity").join(counts, "term")
+    # A term is in at least as many documents as have it next to a mention. Pairs that fail the threshold on that count alone
+    # (common words, above all) fail it on the true one, so these words need not be counted.
+    beside = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     told = F.log(F.lit(float(max(1, total))) * F.col("n") / (F.col("df_c") * F.col("df"))) >= alpha * F.log(F.lit(float(max(1, total))) / F.col("df_c"))
+    pairs = written(pairs.join(entities, "entity").join(beside, "term").where(told).select("entity", "term", "n", "df_c"), "possible-terms")
+    counts = written(_document_counts(docs, pairs.select("term").distinct(), text_col), "term-documents")
+    known = pairs.join(counts, "term")
     telling = written(known.where(told).select("entity", "term"), "disclosing")
     return near.join(telling, ["entity", "term"]).select("row", "start", "end", "term", "entity")
 
