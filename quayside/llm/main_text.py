@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.shared import text_of
+from quayside.llm.shared import smallest_hashes, text_of
 from quayside.llm.words import pieces
 
 MOST_PAGES = 500
@@ -161,7 +161,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
     """Weights from pages with one marked content element."""
     marked = pages.select(F.col(id_col).alias("id"), text_of(html_col).alias("html"))
     ones = [F.size(F.regexp_extract_all("html", F.lit(rf"(?i)<{t}[\s>]"), 0)) for t in CONTENT]
-    picked = marked.where((ones[0] + ones[1]) == 1).select("html", F.xxhash64("id", "html").alias("h")).orderBy("h").limit(most_pages)
+    picked = marked.where((ones[0] + ones[1]) == 1).select("html", F.xxhash64("id", "html").alias("h"))
+    picked = smallest_hashes(picked, "h", most_pages)
     return Weights([r["html"] for r in picked.collect()])
 
 

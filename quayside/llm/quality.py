@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.shared import smallest_hashes
 from quayside.llm.words import pieces
 
 MOST_ROWS = 20_000
@@ -149,7 +150,7 @@ def fold(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = MOST_ROWS) -> Forest:
     """Grow the trees on rows whose fold is not 1; at most ``most_rows`` of them, by the hash of the id."""
     known = labels.select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("_y")).where("_key IS NOT NULL AND _y IS NOT NULL").where(fold(F.col("_key")) != 1)
-    picked = known.orderBy(F.xxhash64("_key"), "_key", "_y").limit(most_rows)
+    picked = smallest_hashes(known.withColumn("_h", F.xxhash64("_key")), "_h", most_rows).drop("_h")
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_key").select("text", "_y")
 
     def rows(batches: Iterator[pa.RecordBatch]):

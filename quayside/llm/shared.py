@@ -26,6 +26,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def smallest_hashes(rows: DataFrame, h: str, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash ``h`` (ties by all columns). A threshold leaves about twice as many rows before they
+    are ordered, so that tasks do not each send their own ``most`` to the driver."""
+    n = rows.count()
+    low = rows if n <= 2 * most else rows.where(F.pmod(F.col(h), F.lit(1 << 30)) < int((1 << 30) * 2 * most / n))
+    return low.orderBy(F.pmod(F.col(h), F.lit(1 << 30)), *rows.columns).limit(most)
+
+
 # --- blocked Bloom filters ------------------------------------------------------------------------
 # A hash picks a block of 32768 bits and two different bits in it. Blocks are rows, so building and
 # testing are joins and aggregates; the number of blocks is bounded, so the filter can be broadcast.
