@@ -45,6 +45,7 @@ ENGINE_WEIGHTS = {
     "rule_based": 0.70,
 }
 UNKNOWN_ENGINE_WEIGHT = 0.75
+DEFAULT_CONFIDENCE = 0.75
 
 # --- Fixed values: fields expected per document type --------------------------------------------
 COMMON_FIELDS = [

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def rnd(c: Column, places: int, precision: int = 18) -> Column:
-    """Round half up on the decimal image of a double, so float noise never decides a tie."""
-    return F.round(c.cast(f"decimal({precision},8)"), places).cast("double")
+    """Round half up on the decimal image of a double, so float noise never decides a tie.
+
+    A figure beyond the precision is rounded on a wider image; one that no decimal holds (1E40, infinity) is left as it is.
+    """
+    narrow, wide = (F.round(c.try_cast(f"decimal({p},8)"), places).cast("double") for p in (precision, 38))
+    return F.coalesce(narrow, wide, c.cast("double"))
 
 
 def dec(c: Column, scale: int = 4, precision: int = 18) -> Column:
@@ -27,13 +31,14 @@ def digits(c: Column) -> Column:
 
 
 def plain_number(c: Column, places: int) -> Column:
-    """Decimal text with at least one fraction digit and no trailing zeros (12.50 -> 12.5, 9.000 -> 9.0)."""
-    text = F.rtrim(F.round(c.cast("decimal(30,8)"), places).cast(f"decimal(30,{places})").cast("string"), F.lit("0"))
+    """Decimal text with at least one fraction digit and no trailing zeros (12.50 -> 12.5, 9.000 -> 9.0); null beyond 22 digits."""
+    text = F.rtrim(F.round(c.try_cast("decimal(30,8)"), places).try_cast(f"decimal(30,{places})").cast("string"), F.lit("0"))
     return F.when(F.endswith(text, F.lit(".")), F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def as_double(c: Column) -> Column:
-    return c.try_cast("double")
+    """Number; null for other text, also for the type marks (5d, 12f) and hexadecimal forms that a plain cast reads."""
+    return F.when(~c.rlike(r"[0-9.][dDfF]\s*$|[xX]"), c.try_cast("double"))
 
 
 def as_number(c: Column) -> Column:

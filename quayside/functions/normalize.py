@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quayside import constants as K
-from quayside.functions.common import as_double, digits, plain_number
+from quayside.functions.common import as_double, digits, plain_number, rnd
 
 Normalizer = Callable[[Column], Column]
 
@@ -74,8 +74,9 @@ def weight_to_kg(c: Column) -> Column:
     unit = F.regexp_extract(text, r"^([\d.]+)\s*([A-Z]*)", 2)
     table = F.create_map(*[F.lit(x) for pair in K.KILOGRAMS_PER_UNIT.items() for x in pair])
     per_unit = F.coalesce(F.try_element_at(table, unit), F.try_element_at(table, F.regexp_replace(unit, "S+$", "")))
-    scaled = F.round((as_double(figure) * per_unit).cast("decimal(30,8)"), 3).cast("double")
-    return F.coalesce(scaled, as_double(F.regexp_replace(text, r"[^\d.]", "")))
+    scaled = F.round((as_double(figure) * per_unit).try_cast("decimal(30,8)"), 3).cast("double")
+    # a figure with an exponent is no weight: without its letters it would read as another number
+    return F.coalesce(scaled, F.when(~text.rlike(r"^[\d.]+E[+-]?\d"), as_double(F.regexp_replace(text, r"[^\d.]", ""))))
 
 
 def normalize_currency(c: Column) -> Column:
@@ -169,10 +170,8 @@ def compare_form(field: Column, value: Column, numeric=("total_packages", "gross
 
 def cross_document_form(value: Column) -> Column:
     """Comparison key across documents: numbers at four decimals, text with single spaces in upper case."""
-    number = as_double(value)
-    return F.when(number.isNotNull(), F.round(number.cast("decimal(30,8)"), 4).cast("decimal(30,4)").cast("string")).otherwise(
-        F.upper(F.trim(F.regexp_replace(value, r"\s+", " ")))
-    )
+    number = F.round(as_double(value).try_cast("decimal(30,8)"), 4).try_cast("decimal(30,4)").cast("string")
+    return F.coalesce(number, F.upper(F.trim(F.regexp_replace(value, r"\s+", " "))))
 
 
 def folded(c: Column) -> Column:
@@ -183,7 +182,7 @@ def folded(c: Column) -> Column:
 # --- safe numbers --------------------------------------------------------------------------------------
 
 def safe_float(c: Column) -> Column:
-    return F.round(as_double(F.regexp_replace(c, ",", "")).cast("decimal(30,8)"), 2).cast("double")
+    return rnd(as_double(F.regexp_replace(c, ",", "")), 2, 30)
 
 
 def safe_int(c: Column) -> Column:

@@ -63,9 +63,9 @@ def platform_kpis(batches: DataFrame, scores: DataFrame, durations: DataFrame) -
         F.count(F.lit(1)).alias("declarations"), F.count_if(F.col("status") == "accepted").alias("accepted"),
         F.count_if(F.col("status").isin("accepted", "rejected")).alias("decided"), F.count_if(F.col("status") == "review_ready").alias("pending_review"),
         F.count_distinct("company_id").alias("active_companies"),
-    ).withColumn("acceptance_rate", rnd(F.col("accepted") / F.col("decided"), 6))
-    b = scores.agg(rnd(F.sum(dec(F.col("score"), 6)).cast("double") / F.count("score"), 4).alias("mean_score"))
-    c = durations.agg(rnd(F.sum("seconds").cast("double") / F.count("seconds"), 3).alias("mean_seconds"))
+    ).withColumn("acceptance_rate", rnd(F.try_divide("accepted", "decided"), 6))
+    b = scores.agg(rnd(F.try_divide(F.sum(dec(F.col("score"), 6)).cast("double"), F.count("score")), 4).alias("mean_score"))
+    c = durations.agg(rnd(F.try_divide(F.sum("seconds").cast("double"), F.count("seconds")), 3).alias("mean_seconds"))
     p = exact_quantile(durations, [], "seconds", 0.95, F.floor(F.col("v") / 600)).select(rnd(F.col("quantile"), 3).alias("p95_seconds"))
     return a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(p))
 
@@ -121,7 +121,7 @@ def correction_heat_map(corrections: DataFrame, weeks: Sequence[int]) -> DataFra
 def first_attempt_rate(attempts: DataFrame) -> DataFrame:
     """Share of batches whose first attempt was accepted."""
     first = attempts.groupBy("batch_id").agg(F.min_by("accepted", F.struct("ts", "event_id")).alias("accepted"))
-    return first.agg(F.count(F.lit(1)).alias("batches"), rnd(F.count_if("accepted") / F.count(F.lit(1)), 6).alias("first_attempt_rate"))
+    return first.agg(F.count(F.lit(1)).alias("batches"), rnd(F.try_divide(F.count_if("accepted"), F.count(F.lit(1))), 6).alias("first_attempt_rate"))
 
 
 # --- ordered --------------------------------------------------------------------------------------------------

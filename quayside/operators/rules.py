@@ -169,18 +169,36 @@ def register_rule_functions(spark) -> None:
 
 
 def rule_text(check: str) -> str:
-    """Rule text in Spark SQL: item sums and counts are columns of the scope, computed before."""
+    """Rule text in Spark SQL: item sums and counts are columns of the scope, computed before; a divisor of zero gives
+    null, so that the rule fails for that batch instead of ending the job."""
     check = re.sub(r"sum\((\w+)\.items\.?\[\*\]\.(\w+)\)", r"\1.items_\2", check)
-    return re.sub(r"count\((\w+)\.items\)", r"\1.items_count", check)
+    check = re.sub(r"count\((\w+)\.items\)", r"\1.items_count", check)
+    return _outside_quotes(check, r"/\s*([\w.]*\([^()]*\)|[\w.]++(?!\s*\())", r"/ nullif(\1, 0)")
 
 
-def rule_scopes(fields: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def _outside_quotes(check: str, pattern: str, by) -> str:
+    parts = re.split(r"('[^']*')", check)
+    return "".join(p if i % 2 else re.sub(pattern, by, p) for i, p in enumerate(parts))
+
+
+def _known_fields(check: str, scopes: DataFrame) -> str:
+    """The rule with null in place of fields that the scopes do not have."""
+    known = {f.name: set(f.dataType.names) for f in scopes.schema if hasattr(f.dataType, "names")}
+
+    def field(m: re.Match) -> str:
+        return m[0] if m[1] not in known or m[2] in known[m[1]] else "CAST(NULL AS STRING)"
+
+    return _outside_quotes(check, r"\b([A-Za-z_]\w*)\.([A-Za-z_]\w*)\b", field)
+
+
+def rule_scopes(fields: DataFrame, items: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """One row per batch with a struct per document type, the combined fields, the item and the importer.
 
     Reduced in two steps: first the last value per (batch, type, field) on the map side, then a
-    pivot with the fixed field list, so a rule can name any field.
+    pivot with the fixed field list and the ``extra`` text fields that rules name.
     """
-    kept = fields.where(F.col("field").isin(NUMBERS + TEXTS) & F.col("value").isNotNull())
+    texts = list(dict.fromkeys([*TEXTS, *(e for e in extra if e not in NUMBERS)]))
+    kept = fields.where(F.col("field").isin(NUMBERS + texts) & F.col("value").isNotNull())
     last = kept.groupBy("batch_id", "doc_type", "field").agg(F.max(F.struct("doc_id", "value")).alias("last"))
 
     def cell(name: str, kind: str | None) -> Column:
@@ -190,8 +208,8 @@ def rule_scopes(fields: DataFrame, items: DataFrame | None = None) -> DataFrame:
         value = F.max(F.when(test, F.col("last")))["value"]
         return (as_number(value) if name in NUMBERS else value).alias(name)
 
-    scope = {s: F.struct(*[cell(n, kind) for n in NUMBERS + TEXTS]).alias(s) for s, kind in SCOPES.items()}
-    wide = last.groupBy("batch_id").agg(*scope.values(), F.struct(*[cell(n, None) for n in NUMBERS + TEXTS]).alias("data"))
+    scope = {s: F.struct(*[cell(n, kind) for n in NUMBERS + texts]).alias(s) for s, kind in SCOPES.items()}
+    wide = last.groupBy("batch_id").agg(*scope.values(), F.struct(*[cell(n, None) for n in NUMBERS + texts]).alias("data"))
     wide = wide.withColumn("item", F.col("data")).withColumn("importir", F.col("data"))
     if items is not None:
         per_type = items.groupBy("batch_id", "doc_type").agg(
@@ -219,11 +237,11 @@ def _message(template: str | None, name: str) -> Column:
 
 
 def expression_rules(scopes: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """All rules of a set in one pass over the scopes; a missing value fails the rule."""
+    """All rules of a set in one pass over the scopes; a missing value, an unknown field or a divisor of zero fails the rule."""
     register_rule_functions(scopes.sparkSession)
     cells = []
     for r in rules:
-        passed = F.coalesce(F.expr(rule_text(r["check"])), F.lit(False))
+        passed = F.coalesce(F.expr(_known_fields(rule_text(r["check"]), scopes)), F.lit(False))
         cells.append(
             F.struct(
                 F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"),
@@ -245,7 +263,7 @@ def item_rules(items: DataFrame, headers: DataFrame, home_port: str = "IDJBK") -
     joined = headers.join(per, "batch_id", "left")
     return joined.select(
         "batch_id",
-        F.coalesce(F.abs(F.col("bill_weight") - F.col("packed")) / F.col("bill_weight") <= 0.02, F.lit(False)).alias("weight_ok"),
+        F.coalesce(F.try_divide(F.abs(F.col("bill_weight") - F.col("packed")), F.col("bill_weight")) <= 0.02, F.lit(False)).alias("weight_ok"),
         (F.abs(F.coalesce("packing_lines", F.lit(0)) - F.coalesce("invoice_lines", F.lit(0))) <= 1).alias("lines_ok"),
         F.coalesce(F.col("port") == home_port, F.lit(False)).alias("port_ok"),
     )

@@ -119,11 +119,11 @@ def tier_vote(obs: DataFrame) -> DataFrame:
 
 
 def scored_forms(obs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """Weighted support of every distinct comparison form of a field."""
+    """Weighted support of every distinct comparison form of a field; a reading without a confidence has the default one."""
     table = {**K.ENGINE_WEIGHTS, **(weights or {})}
     by_engine = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     weight = F.coalesce(F.try_element_at(by_engine, F.col("engine")), F.lit(K.UNKNOWN_ENGINE_WEIGHT))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(K.DEFAULT_CONFIDENCE))))
     form = F.nullif(compare_form(F.col("field"), F.col("value")), F.lit(""))
     return (
         obs.select(*DOC_FIELD, form.alias("form"), "value", "engine_rank", (dec(clamped, 6) * dec(weight, 4, 8)).alias("score"))
@@ -290,11 +290,11 @@ def apply_corrections(reconciled: DataFrame, corrections: DataFrame) -> DataFram
 
 
 def correction_log(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changed fields with their value before and after."""
+    """Changed fields with their value before and after; a field that enters by correction has none before."""
     keys = ["batch_id", "doc_id", "field"]
     old = before.select(*keys, F.col("value").alias("before_state"))
     new = after.select(*keys, F.col("value").alias("after_state"))
-    return old.join(new, keys, "inner").where(~F.col("before_state").eqNullSafe(F.col("after_state")))
+    return old.join(new, keys, "right").where(~F.col("before_state").eqNullSafe(F.col("after_state")))
 
 
 def merge_containers(main: DataFrame, attachment: DataFrame) -> DataFrame:

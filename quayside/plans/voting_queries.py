@@ -190,8 +190,8 @@ def _apply(spark, base):
     return vote.apply_corrections(reconciled(spark, base), corrections(spark, base))
 
 
-@query("correction_log", rec_sql("""SELECT r.batch_id, r.doc_id, r.field, r.value AS before_state, c.corrected_value AS after_state
-    FROM rec r JOIN corr c ON r.batch_id = c.batch_id AND r.doc_id = c.doc_id AND r.field = c.field WHERE r.value IS DISTINCT FROM c.corrected_value""", corr=_CORR))
+@query("correction_log", rec_sql("""SELECT c.batch_id, c.doc_id, c.field, r.value AS before_state, c.corrected_value AS after_state
+    FROM corr c LEFT JOIN rec r ON r.batch_id = c.batch_id AND r.doc_id = c.doc_id AND r.field = c.field WHERE r.value IS DISTINCT FROM c.corrected_value""", corr=_CORR))
 def _log(spark, base):
     before = reconciled(spark, base)
     return vote.correction_log(before, vote.apply_corrections(before, corrections(spark, base)))

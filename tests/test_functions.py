@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.functions import extract as X
 from quayside.functions import normalize as N
 from quayside.functions import validate as V
+from quayside.functions.common import rnd
 from quayside.functions.similarity import anls, indel_ratio, lcs_length
 from quayside.operators import maritime as M
 
@@ -30,6 +31,12 @@ CASES = [
     (N.normalize_vessel, [("m/v nmv Rio", "NMV RIO"), ("NMV  MAERSK", "MAERSK"), ("S.S. ANNE", "ANNE")]),
     (N.locale_float, [("11,603.000", 11603.0), ("11.603,00", 11603.0), ("11.603,000", 11.603), ("1,234", 1234.0), ("5,5", 5.5), ("x", None)]),
     (N.safe_int, [("1,234.9", 1234), ("x", None)]),
+    # readings that are no figures of a declaration must not end a job
+    (N.normalize_weight, [("1E25", "1E25"), ("5d", "5d"), ("12f", "12f"), ("1E400", "1E400")]),
+    (N.normalize_money, [("1E25", "1E25"), ("5d", "5d")]),
+    (N.weight_to_kg, [("1E25", None), ("99999999999999999999999999 KG", 1e26)]),
+    (N.safe_float, [("1E25", 1e25), ("5d", None), ("20,000,000,000.005", 20000000000.01), ("1E40", 1e40)]),
+    (N.cross_document_form, [("1E25", "1E25"), ("2.50", "2.5000"), ("5d", "5D")]),
     (V.valid_container, [("CSQU3054383", True), ("CPSU1311627", True), ("TGCU2288744", True), ("CSQU3054384", False), ("CSQ3054383", False), (None, False)]),
     (V.valid_date, [("2024-02-30", False), ("30/01/2024", True), ("1 March 2024", True), ("2024/01/01", False)]),
     (X.hs_near_label, [("pay 12345678", None), ("HS Code: x 84807900", "84807900"), ("hs code 848079", "848079")]),
@@ -42,6 +49,10 @@ def test_values(spark, build, pairs):
     assert apply(spark, build, [a for a, _ in pairs]) == [b for _, b in pairs]
 
 
+def test_rounding_of_large_figures(spark):
+    assert apply(spark, lambda c: rnd(c, 2), [2e10, 1.005, 1e40, None], "double") == [2e10, 1.01, 1e40, None]
+
+
 def test_check_digit_ten_counts_as_zero(spark):
     # search a serial whose remainder is ten
     values = {c: 10 + k + (k + 9) // 10 for k, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ")}

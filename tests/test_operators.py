@@ -175,3 +175,25 @@ def test_first_present_field_of_a_rule_counts(spark):
     fields = spark.createDataFrame(rows, "batch_id bigint, doc_id string, field string, value string")
     got = sorted((r["doc_id"], r["rule_id"], r["passed"], r["error_message"]) for r in R.document_rules(fields, load_rules(spark)).collect())
     assert got == [("a", "CV011", True, None), ("b", "CV003", False, "Field 'nib' is missing"), ("b", "CV011", False, "Field 'port_loading_code' value 'x' failed CV011")]
+
+
+def test_a_failing_rule_is_a_row(spark):
+    rows = [(b, "d1", "invoice", f, v) for b, cif in (("b1", "0"), ("b2", "100")) for f, v in (("cif_value", cif), ("fob_value", "90"), ("freight", "9"), ("insurance", "1"), ("seal_number", "S1"))]
+    fields = spark.createDataFrame(rows, "batch_id string, doc_id string, doc_type string, field string, value string")
+    rules = [
+        {"id": "ratio", "name": "ratio", "severity": "WARNING", "check": "abs(inv.fob_value + inv.freight + inv.insurance - inv.cif_value) / inv.cif_value <= 0.05"},
+        {"id": "bracket", "name": "bracket", "severity": "WARNING", "check": "1 / (inv.cif_value - inv.cif_value) > 0 OR 1 / abs(inv.cif_value) > 0"},
+        {"id": "seal", "name": "seal", "severity": "CRITICAL", "check": "inv.seal_number == 'S1'"},
+        {"id": "quoted", "name": "quoted", "severity": "CRITICAL", "check": "inv.currency IS NULL AND 'a/inv.b' == 'a/inv.b'"},
+    ]
+    passed = lambda scopes: {(r.batch_id, r.rule_id) for r in R.expression_rules(scopes, rules).where("passed").collect()}
+    assert passed(R.rule_scopes(fields)) == {("b2", "ratio"), ("b2", "bracket"), ("b1", "quoted"), ("b2", "quoted")}
+    assert passed(R.rule_scopes(fields, extra=["seal_number"])) >= {("b1", "seal"), ("b2", "seal")}
+
+
+def test_no_division_by_zero(spark):
+    items = spark.createDataFrame([("b1", "packing_list", 5.0)], "batch_id string, doc_type string, gross_weight double")
+    headers = spark.createDataFrame([("b1", 0.0, "IDJBK")], "batch_id string, bill_weight double, port string")
+    assert [r.weight_ok for r in R.item_rules(items, headers).collect()] == [False]
+    none = spark.createDataFrame([], "batch_id string, accepted boolean, ts timestamp, event_id long")
+    assert [tuple(r) for r in H.first_attempt_rate(none).collect()] == [(0, None)]

@@ -83,3 +83,17 @@ def test_correction_of_an_unread_field(spark):
     )
     got = {r["field"]: (r["value"], r["source"], r["confidence"]) for r in vote.apply_corrections(rec, fix).collect()}
     assert got == {"hs_code": ("2", "operator", 0.9), "seal": ("S", "operator", 1.0)}
+
+
+def test_a_reading_without_confidence_has_the_default(spark):
+    r = vote.scored_forms(readings(spark, "voyage_number", ["a", "b"], [None, 1.0])).collect()
+    scores = {x["form"]: float(x["score"]) for x in r}
+    assert abs(scores["a"] - 0.75 * scores["b"]) < 1e-9  # both engines are unknown to the weights
+
+
+def test_a_field_entering_by_correction_is_logged(spark):
+    keys = "batch_id int, doc_id string, field string, value string"
+    before = spark.createDataFrame([(1, "d", "kept", "x"), (1, "d", "changed", "y")], keys)
+    after = spark.createDataFrame([(1, "d", "kept", "x"), (1, "d", "changed", "z"), (1, "d", "new", "n")], keys)
+    got = {(r.field, r.before_state, r.after_state) for r in vote.correction_log(before, after).collect()}
+    assert got == {("changed", "y", "z"), ("new", None, "n")}
