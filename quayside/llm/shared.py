@@ -74,15 +74,19 @@ def set_bit(bitmap: Column, bit: Column) -> Column:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; the component is its smallest node.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so paths
-    shrink by half or more. Labels live in tables of the shared folder: rounds do not pile up lineage,
-    and both sides of every join are plain exchanges, so that a hot node is split. Stops when no label changes.
+    Each round gives the smallest label among a node's neighbours to the node and to the node that its label names, and then
+    takes the label of the label. Trees hook onto each other by their roots, so the rounds follow the logarithm of the
+    largest component and not its width. Labels live in tables of the shared folder: rounds do not pile up lineage, and both
+    sides of every join are plain exchanges, so that a hot node is split. Stops when no label changes.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{label}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), label)
     while True:
         lowest = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        hooked = written(labels.join(lowest, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("was")), label)
+        own = F.struct("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
+        root = F.struct(F.col("comp").alias("node"), F.col("low").alias("comp"), F.lit(None).cast("long").alias("was"))
+        told = labels.join(lowest, "node").select(F.explode(F.array(own, root)).alias("t")).select("t.*")
+        hooked = written(told.groupBy("node").agg(F.min("comp").alias("comp"), F.max("was").alias("was")), label)
         upper = hooked.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         moved = written(hooked.join(upper, "comp").select("node", F.col("top").alias("comp"), "was"), label)
         if moved.where("comp <> was").isEmpty():
