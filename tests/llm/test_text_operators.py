@@ -13,6 +13,7 @@ from quayside.llm import decontaminate, licenses, main_text, ngram_join, packing
 from quayside.llm.chat import preferences
 from quayside.llm.exact_dedup import distinct_texts, duplicate_report
 from quayside.llm.query_pii import joined
+from quayside.llm.shared import components
 from quayside.llm.words import word_hashes
 
 DOCS = "doc_id long, text string, kept string, _sha string"
@@ -76,6 +77,14 @@ def test_ngram_components(spark, width, num):
     assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, _, c in brute_components(rows, width, num, 100)})
 
 
+def test_components_of_long_paths(spark):
+    rnd = random.Random(4)
+    path = rnd.sample(range(10_000), 300)
+    edges = list(zip(path, path[1:])) + [(20_000 + i, 20_001 + i) for i in range(300)] + [(30_000, 30_000)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(path, min(path)), **dict.fromkeys(range(20_000, 20_301), 20_000)}
+
+
 def test_ngram_empty(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
