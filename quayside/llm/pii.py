@@ -6,8 +6,10 @@ documents, df(c) documents that mention entity c (a kind with its value), df(t)
 n(c,t) documents in which t is among the ``reach`` words before or after a mention of c, the pointwise mutual
 information of c and t is log(N n / (df(c) df(t))), and c holds log(N / df(c)) of information. A term discloses c when the former
 reaches the share ``alpha`` of the latter, which is n(c,t) / df(t) >= (df(c)/N)^(1-alpha), with n(c,t) >= ``least``
-documents. Disclosing terms are removed around the mentions of the entity they disclose; base mentions are
-generalised to their kind.
+documents (1: no floor, as most personal data occurs once). Every mention counts for its value and for what it shares with
+others: the domain of a mail address, the /24 of an ip, the issuer of a card (six digits), a phone number without its last
+four digits. The kind itself is no such entity: the sanitised text states it. Disclosing terms are removed around the
+mentions of the entity they disclose; base mentions are generalised to their kind.
 
 All statistics count all documents and whole texts. Only words that may be terms are counted: they are tested against
 a bitmap of bounded size, which loses none of them. Contexts are read in the 200 code points next to a mention.
@@ -102,10 +104,21 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     return written(kept, "mentions")
 
 
+def _entities() -> Column:
+    """The value of a mention and what it shares with others."""
+    digits = F.regexp_replace("value", "[^0-9]", "")
+    shared = (
+        F.when(F.col("kind") == "email", F.lower(F.substring_index("value", "@", -1)))
+        .when(F.col("kind") == "ip", F.substring_index("value", ".", 3))
+        .when(F.col("kind") == "card", F.substring(digits, 1, 6))
+        .otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4))
+    )
+    return F.array(F.concat_ws(":", "kind", "value"), F.concat_ws("~", "kind", shared))
+
+
 def _context_terms(found: DataFrame, reach: int) -> DataFrame:
     """(row, entity, term, start, end) of the words next to the mentions."""
     letter, other = r"\p{L}", r"[^\p{L}]"
-    entity = F.concat_ws(":", "kind", "value")
     spots = []
     for j in range(reach):
         tail = rf"({letter}++(?:{other}++{letter}++){{{j}}}{other}*+)$"
@@ -115,8 +128,8 @@ def _context_terms(found: DataFrame, reach: int) -> DataFrame:
         head = F.regexp_extract("after", rf"^({other}*+(?:{letter}++{other}++){{{j}}}){letter}", 1)
         word = F.regexp_extract("after", rf"^{other}*+(?:{letter}++{other}++){{{j}}}({letter}++)", 1)
         spots.append(F.struct(word.alias("word"), (F.col("end") + F.length(head)).alias("at")))
-    flat = found.where("kind IS NOT NULL").select("row", entity.alias("entity"), F.explode(F.array(*spots)).alias("s")).where("s.word <> ''")
-    return flat.select("row", "entity", F.lower("s.word").alias("term"), F.col("s.at").cast("long").alias("start"), (F.col("s.at") + F.length("s.word")).cast("long").alias("end"))
+    flat = found.where("kind IS NOT NULL").select("row", _entities().alias("entities"), F.explode(F.array(*spots)).alias("s")).where("s.word <> ''")
+    return flat.select("row", F.explode("entities").alias("entity"), F.lower("s.word").alias("term"), F.col("s.at").cast("long").alias("start"), (F.col("s.at") + F.length("s.word")).cast("long").alias("end"))
 
 
 def _document_counts(docs: DataFrame, terms: DataFrame, text_col: str, most_bits: int = 1 << 26) -> DataFrame:
@@ -133,12 +146,12 @@ def _document_counts(docs: DataFrame, terms: DataFrame, text_col: str, most_bits
     return counted.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, least: int = 3) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, least: int = 1) -> DataFrame:
     """(row, start, end, term, entity) of the terms that disclose the entity next to them."""
     near = written(_context_terms(found, reach), "context-terms")
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     pairs = written(pairs, "entity-terms")
-    entities = found.where("kind IS NOT NULL").select("row", F.concat_ws(":", "kind", "value").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c"))
+    entities = found.where("kind IS NOT NULL").select("row", F.explode(_entities()).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c"))
     total = docs.count()
     # A term is in at least as many documents as have it next to a mention. Pairs that fail the threshold on that count alone
     # (common words, above all) fail it on the true one, so these words need not be counted.
@@ -151,7 +164,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     return near.join(telling, ["entity", "term"]).select("row", "start", "end", "term", "entity")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 4, alpha: float = 0.8, least: int = 3) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 4, alpha: float = 0.8, least: int = 1) -> DataFrame:
     """(row, id, spans): per row all spans as structs (start, rank, end, kind), sorted; base kinds rank before terms."""
     found = mentions(docs, id_col, text_col)
     base = found.select("row", "id", "start", "end", "kind")

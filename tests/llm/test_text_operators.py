@@ -214,6 +214,15 @@ def test_disclosing_terms(spark):
     assert clean == "common words 0  [EMAIL] common words"
 
 
+def test_terms_of_values_that_occur_once(spark):
+    rows = [(0, "common words Zanzibar ann@x.org common words")] + [(1 + i, f"common Quayside common u{i}@port.example common words") for i in range(12)] + [(20 + i, "common words here") for i in range(400)]
+    rows += [(500 + i, "common Quayside common") for i in range(4)]
+    out = {r.id: r.s for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).select("id", joined(F.col("spans")).alias("s")).collect()}
+    assert out[0] == "term:13:21,email:22:31"
+    # 12 of the 16 documents with the word have it next to an address of the domain: too few for any one address, enough for the domain
+    assert all(out[1 + i].startswith("term:7:15,email:23:") for i in range(12)) and out[20] == out[500] == ""
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "<p>é"), (2, "http://b/", "<p>é"), (3, None, None), (4, "u v", ""), (None, "x", "alone"), (5, "big", "z" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
