@@ -223,6 +223,55 @@ def test_terms_of_values_that_occur_once(spark):
     assert all(out[1 + i].startswith("term:7:15,email:23:") for i in range(12)) and out[20] == out[500] == ""
 
 
+def brute_terms(rows, reach=4, alpha=0.8):
+    """Spans of the disclosing terms of every row, by counting pairs of entity and term one by one."""
+    at, near, docs, mention_docs = {}, defaultdict(set), defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        base = [x.split(":") for x in brute_base(t).split(",") if x]
+        base = [(k, int(a), int(b)) for k, a, b in base]
+        words = [m for m in re.finditer(r"[^\W\d_]+", t)]
+        at[d] = [m for m in words if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        for m in words:
+            docs[m[0].lower()].add(d)
+        for k, a, b in base:
+            v = t[a:b]
+            digits = re.sub(r"\D", "", v)
+            shared = {"email": v.split("@")[-1].lower(), "ip": v.rsplit(".", 1)[0], "card": digits[:6], "phone": digits[:-4]}[k]
+            for c in (k + ":" + v, k + "~" + shared):
+                mention_docs[c].add(d)
+                for m in [m for m in at[d] if m.end() <= a][-reach:] + [m for m in at[d] if m.start() >= b][:reach]:
+                    near[c, m[0].lower()].add(d)
+    n = len(rows)
+    telling = defaultdict(set)
+    for (c, w), ds in near.items():
+        df_c = len(mention_docs[c])
+        if np.log(n * len(ds) / (df_c * len(docs[w]))) >= alpha * np.log(n / df_c):
+            telling[w] |= mention_docs[c]
+    return {d: [(m.start(), m.end()) for m in at[d] if d in telling[m[0].lower()]] for d, _ in rows}
+
+
+def test_terms_in_whole_contexts(spark):
+    rnd = random.Random(8)
+    common = ["alpha", "Beta", "gamma", "12", "1980", "x", "été"]
+    rows = [
+        (900, "alpha Zanzibar 1980 card 4111 1111 1111 1111"),
+        (901, "gamma Kilwa beta ann@x.org alpha " * 2 + "beta " * 60 + "Kilwa gamma"),
+        (902, "Lamu list: " + ", ".join(f"u{i}@y.org" for i in range(40)) + " Mombasa"),
+        (903, "alpha " + "Wort" * 90 + "ende bob@z.org 10.0.0.1 beta"),
+        (904, "Pemba" + " " * 400 + "+1 (555) 010-9999 éann@q.org. 300.1.1.1 alpha"),
+    ]
+    for i in range(400):
+        own = [rnd.choice(common) for _ in range(rnd.randint(0, 25))]
+        if i % 8 == 0:
+            own.insert(rnd.randint(0, len(own)), rnd.choice(["Ann", "Bob"]) + " " + rnd.choice(["ann@x.org", "bob@x.org", "4111 1111 1111 1111", "10.0.0.9", f"+1 555 01{i:03d} 22"]))
+        rows.append((i, " ".join(own)))
+    got = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_terms(rows)
+    assert got == want
+    words = {d: [t[a:b] for a, b in want[d]] for d, t in rows}
+    assert "Zanzibar" in words[900] and words[901].count("Kilwa") == 3 and {"Lamu", "Mombasa"} <= set(words[902]) and "Wort" * 90 + "ende" in words[903] and "Pemba" in words[904]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "<p>é"), (2, "http://b/", "<p>é"), (3, None, None), (4, "u v", ""), (None, "x", "alone"), (5, "big", "z" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
