@@ -10,25 +10,28 @@ weighted Jaccard similarity of the shingles (multiplicities as weights) is at le
 At similarity 0.8 the expected distance is about 10 bits with a deviation of 3; the default radius of 24 lies
 more than four deviations above, and unrelated pairs differ in 32 +- 4 bits.
 
-The items travel to the tasks in portions of at most ``portion_chars`` characters (a documented bound);
-a larger benchmark is matched portion by portion. Documents are read whole and never shuffled.
+The items travel to the tasks in portions of at most ``portion_chars`` characters, or one longer item (a documented bound);
+equal items are matched once and reported as often as they stand in the benchmark. A larger benchmark is matched portion by portion,
+over documents numbered in a table of the shared folder, and the matches of a row are put together. Documents are
+read whole and never shuffled.
 
 Defined cases: null or blank documents and items match nothing; repeated items are each reported; ties between
 windows go to the first one; rows that repeat are each judged; null ids are carried; empty tables give no rows
-(no benchmark: no document is contaminated); other columns are ignored or passed on.
+(no benchmark: no document is contaminated); matches are in the order of the item, then of the place; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.shared import text_of
+from quayside.llm.shared import text_of, written
 from quayside.llm.words import U64, mix, pieces, windows, word_hashes
 
 _TABLE_BITS = 20
@@ -141,31 +144,61 @@ class Matcher:
                     best[n, i] = (score, start, size)
 
 
-def _portions(benchmark: DataFrame, id_col: str, text_col: str, portion_chars: int) -> Iterator[list[tuple[int, str]]]:
-    items = benchmark.select(F.col(id_col).alias("k"), text_of(text_col).alias("t"))
-    n = 1 + (items.agg(F.sum(F.length("t"))).first()[0] or 0) // portion_chars
-    for i in range(n):
-        yield [(r["k"], r["t"]) for r in items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()]
+def _portions(benchmark: DataFrame, id_col: str, text_col: str, portion_chars: int) -> tuple[bool, Iterator[list[tuple[int, str, int]]]]:
+    """Whether there are several portions, and the portions: lists of (item, text, how often it stands in the benchmark)."""
+    items = benchmark.groupBy(F.col(id_col).alias("k"), text_of(text_col).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    if (items.agg(F.sum(F.length("t"))).first()[0] or 0) <= portion_chars:
+        return False, iter([[tuple(r) for r in items.collect()]])
+    items = written(items, "items")
 
+    def cut():
+        own, size = [], 0
+        for r in items.toLocalIterator():
+            if own and size + len(r["t"]) > portion_chars:
+                yield own
+                own, size = [], 0
+            own.append(tuple(r))
+            size += len(r["t"])
+        yield own
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                      width: int = 5, similarity: float = 0.8, radius: int = 24, portion_chars: int = 16 << 20) -> DataFrame:
-    """One row per row of ``docs`` and portion: id and ``matches``, an array of (item, first_word, words, similarity)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    out = None
+    return True, cut()
+
+
+_MATCH = ("item", "first_word", "words", "similarity")
+
+
+def _found_in(items: list[tuple[int, str, int]], width: int, similarity: float, radius: int, every: bool):
+    """A function over batches (key, text) to (key, matches); without ``every``, only of the rows with matches."""
     shape = pa.list_(pa.struct([("item", pa.int64()), ("first_word", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
-    for items in _portions(benchmark, item_col, item_text, portion_chars):
 
-        def run(batches, items=items):
-            matcher = Matcher(items, width, similarity, radius)
-            for batch, texts in pieces(batches, "text"):
-                found = [[dict(zip(("item", "first_word", "words", "similarity"), m)) for m in own] for own in matcher.all_matches(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, shape)], ["key", "matches"])
+    def run(batches):
+        matcher = Matcher([(i, text) for i, (_, text, _) in enumerate(items)], width, similarity, radius)
+        for batch, texts in pieces(batches, "text"):
+            found = []
+            for own in matcher.all_matches(texts):
+                named = sorted(((items[i][0], *rest) for i, *rest in own for _ in range(items[i][2])), key=lambda m: (m[0] is not None, m[0] or 0, *m[1:]))
+                found.append([dict(zip(_MATCH, m)) for m in named])
+            out = pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, shape)], ["key", "matches"])
+            yield out if every else out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    return run
+
 
-        part = plain.mapInArrow(run, f"key {kind}, matches array<struct<item:bigint,first_word:bigint,words:bigint,similarity:double>>")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("key", id_col)
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                      width: int = 5, similarity: float = 0.8, radius: int = 24, portion_chars: int = 16 << 20) -> DataFrame:
+    """One row per row of ``docs``: id and ``matches``, an array of (item, first_word, words, similarity)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shape = "matches array<struct<item:bigint,first_word:bigint,words:bigint,similarity:double>>"
+    several, portions = _portions(benchmark, item_col, item_text, portion_chars)
+    if not several:
+        plain = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+        return plain.mapInArrow(_found_in(next(portions), width, similarity, radius, True), f"key {kind}, {shape}").withColumnRenamed("key", id_col)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
+    plain = rows.select("key", "text")
+    # one portion at a time, so that the driver and the tasks hold no more than one
+    parts = [written(plain.mapInArrow(_found_in(items, width, similarity, radius, False), f"key bigint, {shape}"), "matches") for items in portions]
+    found = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return rows.select("key", "id").join(found, "key", "left").select(F.col("id").alias(id_col), F.coalesce("matches", F.expr(f"CAST(array() AS {shape.split(' ', 1)[1]})")).alias("matches"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -174,9 +207,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     at = docs.columns.index(text_col)
     out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     schema = out.schema
-    for items in _portions(benchmark, item_col, item_text, portion_chars):
+    for items in _portions(benchmark, item_col, item_text, portion_chars)[1]:
 
-        def run(batches, items=items):
+        def run(batches, items=[(k, t) for k, t, _ in items]):
             matcher = Matcher(items, width, similarity, radius)
             for batch, texts in pieces(batches, f"c{at}"):
                 yield batch.filter(pa.array([not own for own in matcher.all_matches(texts)], pa.bool_()))

@@ -134,6 +134,21 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_matches(df, bench.limit(0)).where("size(matches) > 0").isEmpty()
 
 
+def test_decontamination_in_portions(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(9)] + [(3, " ".join(f"w3x{j}" for j in range(8)))] * 40 + [(None, "lone item of this benchmark")]
+    rows = [(1, f"a {items[0][1]} b {items[5][1]}"), (2, items[3][1]), (2, items[3][1]), (3, "nothing here"), (4, None), (None, f"{items[8][1]} {items[1][1]} lone item of this benchmark")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    reports = []
+    for chars in (16 << 20, 100, 1):
+        several, portions = decontaminate._portions(bench, "item_id", "text", chars)
+        sizes = [sum(len(t) for _, t, _ in p) for p in portions]
+        assert several == (len(sizes) > 1) == (chars <= 100) and max(sizes) <= max(chars, 50)
+        got = decontaminate.benchmark_matches(df, bench, portion_chars=chars).collect()
+        reports.append(sorted(((r.doc_id or 0), [(m.item, m.first_word, m.words, m.similarity) for m in r.matches]) for r in got))
+        assert {r.doc_id for r in decontaminate.clean_documents(df, bench, portion_chars=chars).collect()} == {3, 4}
+    assert reports[0] == reports[1] == reports[2] and [(d, [m[0] for m in ms]) for d, ms in reports[0]] == [(0, [None, 1, 8]), (1, [0, 5]), (2, [3] * 41), (2, [3] * 41), (3, []), (4, [])]
+
+
 def test_hamming_index_finds_all():
     rnd = np.random.default_rng(1)
     stored, queries = rnd.integers(0, 2**63, 300, dtype=np.uint64), rnd.integers(0, 2**63, 200, dtype=np.uint64)
