@@ -2,9 +2,11 @@
 
 A text is cut at line ends, blank lines and sentence ends; comment marks, case and punctuation fall away. Every sentence
 that a rule of ``SENTENCES`` matches as a whole becomes its identifier, with the version it names. ``LICENCES`` lists, per licence, the
-identifiers that must follow each other (others may stand between them, at most ``most_between`` recognised ones). Rules are tried
-in their order from each identifier on; the first that fits takes the identifiers it used. Licence sentences that no rule
-takes are reported as ``unknown``. Sentences wrapped over lines are also read joined, up to a blank line.
+identifiers that must follow each other; any others may stand between them, but not the first identifier of the same
+sequence, which begins the next notice. A warranty sentence (``WARRANTIES``), which several licences share, belongs to the notice that began
+last before it. Rules are tried in their order from each identifier on; the first that fits takes the identifiers it used. Licence
+sentences that no rule takes are each reported as ``unknown``; so is a copyright line, unless only copyright lines stand between
+it and the beginning of a licence or it stands inside the span of one, and is part of that notice. Sentences wrapped over lines are also read joined, up to a blank line.
 
 Defined cases: null or empty text has no licence; a licence stated several times is listed once for the document but every finding has its
 span; rows that repeat are each reported; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -63,15 +65,22 @@ LICENCES = (
     ("GPL-{v}", ("gpl-ref",)),
     ("LGPL-{v}", ("lgpl-ref",)),
     ("AGPL-{v}", ("agpl-ref",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-{v}-Clause", ("bsd-ref",)),
     ("MPL-{v}", ("mpl-ref",)),
     ("CC-{v}", ("cc-ref",)),
+    ("ISC", ("isc-grant", "as-is")),
     ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense", "as-is")),
     ("Unlicense", ("unlicense",)),
     ("unknown", ("other-licence",)),
 )
+# warranty sentences that several licences share, and the beginnings of the notices that may end in one
+WARRANTIES = frozenset(["as-is"])
+_NOTICES = frozenset(sequence[0] for _, sequence in LICENCES if WARRANTIES & {*sequence})
 # a sentence without any of these words is no licence sentence
 HINTS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "as is", "public domain", "spdx", "gpl")
 
@@ -132,27 +141,49 @@ def sentences(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found.values())
 
 
-def licences(text: str | None, most_between: int = 3) -> list[tuple[int, int, str]]:
+def _sequence(seen: list[tuple[int, int, str, str]], used: set[int], first: int, sequence: tuple[str, ...]) -> list[int] | None:
+    """Places of the identifiers of a sequence from ``first`` on, each the next free one."""
+    took, want = [first], 1
+    for j in range(first + 1, len(seen)):
+        if want == len(sequence):
+            break
+        name = seen[j][2]
+        if name == sequence[0] or (sequence[want] in WARRANTIES and name in _NOTICES):
+            return None
+        if name == sequence[want] and j not in used:
+            took.append(j)
+            want += 1
+    return took if want == len(sequence) else None
+
+
+def licences(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, licence) of every finding in a text."""
     seen, out, used = sentences(text or ""), [], set()
-    for i, (start, end, name, version) in enumerate(seen):
+    begins = {}
+    for i, (start, _, name, version) in enumerate(seen):
         if i in used:
             continue
         for licence, sequence in LICENCES:
-            if sequence[0] != name:
-                continue
-            took, at = [i], i
-            for want in sequence[1:]:
-                at = next((j for j in range(at + 1, min(len(seen), at + 2 + most_between)) if j not in used and seen[j][2] == want), None)
-                if at is None:
-                    break
-                took.append(at)
-            if len(took) == len(sequence):
+            if sequence[0] == name and (took := _sequence(seen, used, i, sequence)):
                 used.update(took)
                 label = licence.replace("{v}", version.replace(" ", "-").upper() if name == "cc-ref" else version).replace("BSD--Clause", "BSD")
                 out.append((start, max(seen[j][1] for j in took), label))
+                begins[i] = took[-1]
                 break
-    return out
+    # copyright lines right before a licence or inside it are part of it
+    inside, lead = -1, []
+    for i, (start, end, name, _) in enumerate(seen):
+        if i in begins:
+            inside = max(inside, begins[i])
+            used.update(lead)
+        if name == "copyright":
+            lead.append(i)
+            if i < inside:
+                used.add(i)
+        else:
+            lead = []
+    out += [(start, end, "unknown") for i, (start, end, _, _) in enumerate(seen) if i not in used]
+    return sorted(out)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

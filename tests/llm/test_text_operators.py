@@ -329,6 +329,23 @@ def test_licences():
     assert licenses.licences(None) == [] and licenses.licences("x" * 300_000 + " license") == []
 
 
+def test_partial_and_interleaved_licences():
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    as_is = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY."
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+           "Redistributions of source code must retain the above copyright notice.", "Redistributions in binary form must reproduce the above copyright notice."]
+    lines = [f"Copyright (c) 20{i:02d} Someone" for i in range(10, 16)]
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."
+    names = lambda *parts: [x[2] for x in licenses.licences("\n\n".join(parts))]
+    for part in (grant, notice, as_is, hope, lines[0], *bsd):
+        assert licenses.licences("Words.\n\n" + part) == [(8, 8 + len(part), "unknown")]
+    assert names(grant, *lines, notice, as_is) == ["MIT"] == names(lines[0], lines[1], grant, notice, as_is)
+    assert names(grant, bsd[0], notice, bsd[1], bsd[2], as_is) == ["MIT", "BSD-2-Clause"] and names(*bsd, as_is) == ["BSD-2-Clause"]
+    assert names(grant, grant, notice, as_is) == ["unknown", "MIT"] and names(grant, notice, *bsd, as_is, "Released under the MIT License.") == ["MIT", "BSD-2-Clause", "MIT"]
+    assert names(lines[0], hope, grant, notice) == ["unknown", "unknown", "MIT"]
+
+
 def test_license_scan(docs, empty):
     assert licenses.scan(docs).count() == 9 and licenses.scan(empty).count() == 0
 
