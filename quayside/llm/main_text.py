@@ -7,7 +7,8 @@ positive are the main text.
 
 Weights come from labelled pages: pages whose publisher marks the content with one article or main element. For every element
 name and every word of a class or id, the words inside and outside the marked content are counted; the weight is the log ratio of
-the two counts, with the names below counted beforehand as if seen outside. At most
+the two counts, with the names below counted beforehand as if seen outside. Words in surroundings that are nested in the
+marked content (comments, adverts, share boxes) are no evidence of content; only a header element there is, as it holds the title. At most
 ``most_pages`` labelled pages are used (the documented bound: those with the smallest hash of the id).
 
 Defined cases: null or empty html, and pages without scoring words, give an empty text; unclosed and misnested tags are tolerated; rows that
@@ -120,7 +121,10 @@ class Weights:
             for text, _, around in segments(page):
                 n = len(text.split()) if text else 0
                 if n:
-                    marked = any(a[0] in CONTENT for a in around)
+                    content = next((i for i, a in enumerate(around) if a[0] in CONTENT), None)
+                    marked = content is not None
+                    if marked and any(x in _KNOWN for a in around[content + 1 :] for x in (a[1:] if a[0] == "header" else a)):
+                        continue
                     names = {x for a in around for x in a} - {*CONTENT, "html", "body"}
                     if not marked and (known := names & _KNOWN):
                         names = known  # these explain the words; a plain div or link around them is not to blame

@@ -321,6 +321,17 @@ def test_main_text_of_marked_pages(spark, base):
     assert [main_text.main_text(x, weights) for x in (None, "", "<nav>a</nav>", "plain")] == ["", "", "", "plain"]
 
 
+def test_surroundings_inside_the_marked_content():
+    box = "<{0} class='{1}'>" + "these words are no part of the article but stand inside it " * 3 + "</{0}>"
+    boxes = "".join(box.format(*x) for x in (("div", "comments"), ("section", "share"), ("div", "ad"), ("aside", "newsletter-box")))
+    page = "<nav>Home</nav><article><header><h1>Title {0}</h1></header><p>First words {0}" + " of the text" * 80 + "</p>" + boxes + "<p>Last words {0}" + " of the text" * 80 + "</p></article>"
+    weights = main_text.Weights([page.format(i) for i in range(500)])
+    assert main_text.main_text(page.format("x").replace("article", "main"), weights) == "Title x First words x" + " of the text" * 80 + " Last words x" + " of the text" * 80
+    # the names of elements around the marked content are evidence still
+    wrapped = main_text.Weights(["<div class='widget'><article><p>" + "word " * 20 + "</p></article></div>"] * 50)
+    assert main_text.main_text("<div class='widget'><p>Some words</p></div>", wrapped) == "Some words"
+
+
 def test_licences():
     text = "Some words.\nReleased under the MIT License.\nmore\n\n# SPDX-License-Identifier: Apache-2.0 OR MIT\nLicensed under some odd licence of ours."
     assert [x[2] for x in licenses.licences(text)] == ["MIT", "Apache-2.0 OR MIT", "unknown"]
