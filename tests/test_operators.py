@@ -197,3 +197,21 @@ def test_no_division_by_zero(spark):
     assert [r.weight_ok for r in R.item_rules(items, headers).collect()] == [False]
     none = spark.createDataFrame([], "batch_id string, accepted boolean, ts timestamp, event_id long")
     assert [tuple(r) for r in H.first_attempt_rate(none).collect()] == [(0, None)]
+
+
+def test_model_queries_train_the_full_model_on_the_tables(spark, base, monkeypatch):
+    from quayside import constants as K
+    from quayside.operators import models
+    from quayside.plans import model_queries
+
+    whole, asked = models.rejection_pipeline, []
+
+    def small(features, **params):
+        asked.append((list(features), params))
+        return whole(features, trees=2, depth=2)
+
+    monkeypatch.setattr(models, "rejection_pipeline", small)
+    assert model_queries._train(spark, base).first().trained
+    got = model_queries._importance(spark, base).collect()
+    assert asked == [(list(K.API_FEATURES), {})] * 2 and got and {r.feature for r in got} <= {*K.API_FEATURES}
+    assert models.feature_importance(None, K.API_FEATURES, spark).count() == 0
