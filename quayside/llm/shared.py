@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quayside.session import fresh_path
 
@@ -26,6 +29,12 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def table_of_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from rows of the driver, whose size the caller bounds; Arrow carries it without a Python worker."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=to_arrow_schema(StructType.fromDDL(schema))))
+
+
 def smallest_hashes(rows: DataFrame, h: str, most: int) -> DataFrame:
     """The ``most`` rows with the smallest hash ``h`` (ties by all columns). A threshold leaves about twice as many rows before they
     are ordered, so that tasks do not each send their own ``most`` to the driver."""
