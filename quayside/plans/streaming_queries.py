@@ -20,6 +20,12 @@ def event_stream(spark, base) -> DataFrame:
     return B.shape_events(R.table_stream(spark, base, "events"))
 
 
+def closed_feed(spark, base) -> tuple[DataFrame, R.Closing]:
+    """The events, and the row that closes a replay of them."""
+    closing = R.closing_row(read_table(spark, base, "events"), "ts", "10 DAYS", "closing")
+    return event_stream(spark, base).unionByName(B.shape_events(closing.stream)), closing
+
+
 @query("audit_append", oracle("SELECT event_id, batch_id, action, strftime(ts, '%Y-%m-%d') AS day FROM b4", "b4"))
 def _audit(spark, base):
     log = event_stream(spark, base).select("event_id", "batch_id", "action", F.date_format("ts", "yyyy-MM-dd").alias("day"))
@@ -34,7 +40,7 @@ def _feed(spark, base):
 @query("latest_status", oracle("SELECT batch_id, arg_max(action, (ts, event_id)) AS status, arg_max(amount, (ts, event_id)) FILTER (k % 3 > 0) AS amount, count(*) AS updates FROM b4 GROUP BY 1", "b4"))
 def _latest(spark, base):
     feed = event_stream(spark, base).withColumn("amount", F.when(F.pmod("k", F.lit(3)) > 0, F.col("amount")))
-    return R.upsert_to_table(J.latest_status(feed), "status", ["batch_id"])
+    return J.latest_status(R.each_batch_to_table(feed, "status", J.status_changes))
 
 
 @query("event_log", oracle("SELECT batch_id, count(*) AS events, bool_or(action = 'accepted') AS done FROM b4 GROUP BY 1", "b4"))
@@ -46,21 +52,20 @@ def _log(spark, base):
 @query("status_machine_stream", oracle("""SELECT event_id, from_action, action FROM (SELECT *, lag(action) OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS from_action FROM b4)
     WHERE from_action IS NOT NULL AND from_action <> action AND NOT EXISTS (SELECT 1 FROM allowed WHERE a = from_action AND b = action)""", "b4", allowed=ALLOWED))
 def _machine(spark, base):
-    return R.append_to_table(J.transition_violations(event_stream(spark, base)), "transitions")
+    feed, closing = closed_feed(spark, base)
+    return R.append_to_table(J.transition_violations(feed), "transitions", closing=closing)
 
 
-@query("expiry_timer", oracle("""SELECT batch_id, born AS created_us, born + 172800000000 AS expired_us FROM (SELECT batch_id, min(epoch_us(ts)) AS born, bool_or(action = 'accepted') AS done FROM f GROUP BY 1) WHERE NOT done
-    AND (born + 172800000000) // 1000 + 1 < (SELECT max(epoch_ms(ts)) + 864000000 - 172800000 FROM b4)""", "b4", f="SELECT * FROM b4 WHERE k >= 97 OR action <> 'accepted'"))
+@query("expiry_timer", oracle("""SELECT batch_id, born AS created_us, born + 172800000000 AS expired_us FROM (SELECT batch_id, min(epoch_us(ts)) AS born FROM b4 GROUP BY 1) f
+    WHERE NOT EXISTS (SELECT 1 FROM b4 e WHERE e.batch_id = f.batch_id AND action = 'accepted' AND epoch_us(ts) <= born + 172800000000)""", "b4"))
 def _expiry(spark, base):
-    raw = read_table(spark, base, "events")
-    closing = B.shape_events(R.closing_row(spark, raw, "ts", "10 DAYS", "closing"))
-    feed = event_stream(spark, base).where("k >= 97 or action <> 'accepted'").unionByName(closing)
-    return R.append_to_table(J.expiry(feed, 48, ("accepted",)), "expiry").where("batch_id is not null")
+    feed, closing = closed_feed(spark, base)
+    return R.append_to_table(J.expiry(feed, 48, ("accepted",)), "expiry", closing=closing).where("batch_id is not null")
 
 
 @query("poll_to_terminal", oracle("SELECT batch_id, arg_min(action, (ts, event_id)) AS status, arg_min(event_id, (ts, event_id)) AS event_id FROM b4 WHERE action IN ('accepted', 'rejected') GROUP BY 1", "b4"))
 def _poll(spark, base):
-    return R.upsert_to_table(J.first_terminal(event_stream(spark, base)), "terminal", ["batch_id"])
+    return J.first_terminal(R.each_batch_to_table(event_stream(spark, base), "terminal", J.terminal_changes))
 
 
 @query("drift_stream", oracle("SELECT strftime(d, '%Y-%m-%d') AS start, field_name, count(*) AS corrections FROM (SELECT field_name, unnest(generate_series(ts::DATE::TIMESTAMP - INTERVAL 29 DAY, ts::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM b4) GROUP BY 1, 2 HAVING count(*) >= 50", "b4"))
@@ -70,12 +75,13 @@ def _drift(spark, base):
 
 @query("quota_stream", oracle("SELECT strftime(ts, '%Y-%m') AS month, sum(pages)::BIGINT AS pages, count(*) AS requests FROM b4 GROUP BY 1", "b4"))
 def _quota(spark, base):
-    return R.upsert_to_table(J.quota_per_month(event_stream(spark, base)), "quota", ["month"])
+    return J.quota_per_month(R.each_batch_to_table(event_stream(spark, base), "quota", J.quota_changes))
 
 
 @query("breaker_stream", oracle("SELECT event_id, streak, epoch_us(ts) + 60000000 AS open_until_us FROM st WHERE failed AND streak >= 3", "b4", st=_STREAK))
 def _breaker(spark, base):
-    return R.append_to_table(J.breaker(event_stream(spark, base), F.col("action").isin("rejected", "preprocessing")), "breaker")
+    feed, closing = closed_feed(spark, base)
+    return R.append_to_table(J.breaker(feed, F.col("action").isin("rejected", "preprocessing")), "breaker", closing=closing)
 
 
 @query("idempotent_submit", oracle("SELECT DISTINCT idem_key FROM b4", "b4"))
@@ -100,10 +106,10 @@ def _validate(spark, base):
     return J.rule_pass_rates(R.each_batch_to_table(obs, "validate", lambda rows: J.rule_counts(rows, rules)))
 
 
-@query("latency_windows", oracle("""SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n, max(amount) AS slowest, quantile_disc(amount, 0.95) AS p95, count(*) FILTER (amount >= 0 AND amount < 25) AS from_0, count(*) FILTER (amount >= 25 AND amount < 50) AS from_25,
-    count(*) FILTER (amount >= 50 AND amount < 75) AS from_50, count(*) FILTER (amount >= 75 AND amount < 100) AS from_75 FROM b4 GROUP BY 1, 2""", "b4"))
+@query("latency_windows", oracle("""SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n, max(amount) AS slowest, quantile_disc(amount, 0.95) AS p95, count(*) FILTER (amount < 0) AS below, count(*) FILTER (amount >= 0 AND amount < 25) AS from_0, count(*) FILTER (amount >= 25 AND amount < 50) AS from_25,
+    count(*) FILTER (amount >= 50 AND amount < 75) AS from_50, count(*) FILTER (amount >= 75 AND amount < 100) AS from_75, count(*) FILTER (amount >= 100) AS from_100 FROM b4 GROUP BY 1, 2""", "b4"))
 def _latency(spark, base):
-    return R.upsert_to_table(J.daily_latency(event_stream(spark, base)), "latency", ["day", "action"])
+    return J.daily_latency(R.each_batch_to_table(event_stream(spark, base), "latency", J.latency_changes))
 
 
 @query("outcome_join", oracle("""SELECT s.idem_key AS key, s.event_id AS submission, o.event_id AS decision, o.action AS outcome FROM b4 s JOIN b4 o ON s.idem_key = o.idem_key AND s.event_id % 2 = 0 AND o.event_id % 2 = 1
@@ -116,6 +122,5 @@ def _outcomes(spark, base):
 @query("review_sessions", oracle("""SELECT batch_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 1800000000 AS end_us, count(*) AS events FROM (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS s
     FROM (SELECT *, lag(ts) OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS prev FROM b4)) GROUP BY batch_id, s""", "b4"))
 def _sessions(spark, base):
-    closing = B.shape_events(R.closing_row(spark, read_table(spark, base, "events"), "ts", "10 DAYS", "closing"))
-    log = event_stream(spark, base).unionByName(closing)
-    return R.append_to_table(J.review_sessions(log), "sessions").where("batch_id is not null")
+    feed, closing = closed_feed(spark, base)
+    return R.append_to_table(J.review_sessions(feed), "sessions", closing=closing).where("batch_id is not null")

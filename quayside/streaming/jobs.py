@@ -2,37 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quayside import constants as K
 from quayside.functions.common import rnd
 from quayside.operators.rules import document_rules
+from quayside.streaming.ordered import Step, expiring, in_order
 
 LATE = "2 days"
 
 
-def latest_status(feed: DataFrame) -> DataFrame:
-    """Current status and amount per batch; a null update keeps the earlier value. Update mode."""
-    def last(c: str) -> Column:
-        return F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", c)))[c]
+# --- running views without state -----------------------------------------------------------------------------
+# What a micro-batch adds to a running view is a small mergeable row per key: each micro-batch writes its own (``runner.each_batch_to_table``) and
+# the view merges them. No state is held however many keys there are, rows may come in any order and as late as they like, and a key
+# that was quiet for a year goes on where it was.
 
-    return feed.groupBy("batch_id").agg(last("action").alias("status"), last("amount").alias("amount"), F.count(F.lit(1)).alias("updates"))
 
+def status_changes(feed: DataFrame) -> DataFrame:
+    """Per batch the newest status and amount among these rows; a null update changes nothing."""
+    def newest(c: str) -> Column:
+        return F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", c))).alias(c)
 
-def done_batches(log: DataFrame, end_events=tuple(K.END_EVENTS)) -> DataFrame:
-    """Batch view of the event log: is the batch finished?"""
-    return log.groupBy("batch_id").agg(F.count(F.lit(1)).alias("events"), F.bool_or(F.col("action").isin(list(end_events))).alias("done"))
+    return feed.groupBy("batch_id").agg(newest("action"), newest("amount"), F.count(F.lit(1)).alias("updates"))
+
+
+def latest_status(changes: DataFrame) -> DataFrame:
+    """Current status and amount per batch from the changes of all micro-batches."""
+    merged = changes.groupBy("batch_id").agg(F.max("action").alias("action"), F.max("amount").alias("amount"), F.sum("updates").alias("updates"))
+    return merged.select("batch_id", F.col("action.action").alias("status"), F.col("amount.amount").alias("amount"), "updates")
 
 
-def first_terminal(observed: DataFrame, terminal=tuple(K.TERMINAL_STATUSES)) -> DataFrame:
-    """First terminal status per batch from repeated observations. Update mode."""
+def terminal_changes(observed: DataFrame, terminal=tuple(K.TERMINAL_STATUSES)) -> DataFrame:
+    """Per batch the first terminal status among these rows."""
     hits = observed.where(F.col("action").isin(list(terminal)))
-    return hits.groupBy("batch_id").agg(F.min(F.struct("ts", "event_id", "action")).alias("f")).select("batch_id", F.col("f.action").alias("status"), F.col("f.event_id").alias("event_id"))
+    return hits.groupBy("batch_id").agg(F.min(F.struct("ts", "event_id", "action")).alias("first"))
+
+
+def first_terminal(changes: DataFrame) -> DataFrame:
+    """First terminal status per batch from the changes of all micro-batches."""
+    return changes.groupBy("batch_id").agg(F.min("first").alias("f")).select("batch_id", F.col("f.action").alias("status"), F.col("f.event_id").alias("event_id"))
+
+
+def quota_changes(usage: DataFrame) -> DataFrame:
+    """Pages per calendar month among these rows."""
+    return usage.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("requests"))
+
+
+def quota_per_month(changes: DataFrame) -> DataFrame:
+    """Pages per calendar month from the changes of all micro-batches: a busy month is one row for each of them."""
+    return changes.groupBy("month").agg(F.sum("pages").alias("pages"), F.sum("requests").alias("requests"))
+
+
+LATENCY_BINS = (0, 25, 50, 75, 100)  # lower ends; the last bin is open, values below the first have their own
+SKETCH_K = 4096  # items of a quantile sketch: ranks are within 0.1 % of the exact ones, and exact up to so many values
+
+
+def latency_changes(durations: DataFrame) -> DataFrame:
+    """Per day and action a quantile sketch and the histogram of these rows."""
+    ends = (*LATENCY_BINS[1:], None)
+    inside = [F.count_if((F.col("amount") >= lo) & (F.lit(True) if hi is None else F.col("amount") < hi)).alias(f"from_{lo}") for lo, hi in zip(LATENCY_BINS, ends)]
+    return durations.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "action").agg(
+        F.count(F.lit(1)).alias("n"), F.max("amount").alias("slowest"), F.kll_sketch_agg_double("amount", SKETCH_K).alias("sketch"),
+        F.count_if(F.col("amount") < LATENCY_BINS[0]).alias("below"), *inside,
+    )
+
+
+def daily_latency(changes: DataFrame) -> DataFrame:
+    """Latency figures per day and action from the changes of all micro-batches."""
+    counts = ["n", "below", *(f"from_{lo}" for lo in LATENCY_BINS)]
+    merged = changes.groupBy("day", "action").agg(
+        *[F.sum(c).alias(c) for c in counts], F.max("slowest").alias("slowest"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch")
+    )
+    p95 = F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)).alias("p95")
+    return merged.select("day", "action", "n", "slowest", p95, *counts[1:])
+
+
+# --- streams with a watermark --------------------------------------------------------------------------------
+
+
+def done_batches(log: DataFrame, end_events=tuple(K.END_EVENTS)) -> DataFrame:
+    """Batch view of the event log: is the batch finished?"""
+    return log.groupBy("batch_id").agg(F.count(F.lit(1)).alias("events"), F.bool_or(F.col("action").isin(list(end_events))).alias("done"))
 
 
 def drift_windows(corrections: DataFrame, minimum: int = K.DRIFT_MIN_CORRECTIONS) -> DataFrame:
@@ -45,11 +97,6 @@ def drift_windows(corrections: DataFrame, minimum: int = K.DRIFT_MIN_CORRECTIONS
     )
 
 
-def quota_per_month(usage: DataFrame) -> DataFrame:
-    """Pages per calendar month, which no fixed window matches. Update mode."""
-    return usage.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("requests"))
-
-
 def idempotent(submissions: DataFrame, key: str = "idem_key", within: str = LATE) -> DataFrame:
     """One row per idempotency key among repeats within the lateness bound. Append mode."""
     return submissions.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
@@ -61,16 +108,6 @@ def ingest_positions(feed: DataFrame, within: str = LATE) -> DataFrame:
     return sound.withWatermark("ts", within).dropDuplicatesWithinWatermark(["imo", "ts"])
 
 
-def daily_latency(durations: DataFrame) -> DataFrame:
-    """Latency figures per day and action. Update mode."""
-    return (
-        durations.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day"), "action")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("amount").alias("slowest"), F.percentile_approx("amount", 0.95, 10000).alias("p95"),
-             *[F.count_if((F.col("amount") >= lo) & (F.col("amount") < lo + 25)).alias(f"from_{lo}") for lo in (0, 25, 50, 75)])
-        .select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "n", "slowest", "p95", "from_0", "from_25", "from_50", "from_75")
-    )
-
-
 def join_outcomes(submissions: DataFrame, outcomes: DataFrame, key: str = "idem_key", within: str = "1 day") -> DataFrame:
     """Submissions with their outcome inside the time limit; both sides forget what the watermarks rule out. Append mode."""
     s = submissions.withWatermark("ts", LATE).select(F.col(key).alias("key"), F.col("ts").alias("submitted"), F.col("event_id").alias("submission"))
@@ -89,90 +126,46 @@ def review_sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 # --- custom state ----------------------------------------------------------------------------------------------
-# Rows of a key reach the function chunk by chunk and each chunk is put in time order, so the state
-# is one small record per key and no key is ever held whole.
+# Rows of a key are judged in event-time order (``ordered``), whatever the order of files and micro-batches.
 
 _ALLOWED = {(a, b) for a, bs in K.LIFE_CYCLE.items() for b in bs}
 
 
-def _in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["ts", "event_id"], kind="stable")
-
+def _check_transitions(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    before = rows["tag"].shift(1)
+    before.iloc[0] = last[0] if last else None
+    changed = before.notna() & rows["tag"].notna() & (before != rows["tag"])
+    illegal = [bool(c) and (a, b) not in _ALLOWED for c, a, b in zip(changed, before, rows["tag"], strict=True)]
+    bad = rows[illegal]
+    return (rows["tag"].iloc[-1],), pd.DataFrame({"event_id": bad["event_id"], "from_action": before[illegal], "action": bad["tag"]})
 
-def _check_transitions(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for pdf in chunks:
-        pdf = _in_order(pdf)
-        before = pdf["action"].shift(1)
-        before.iloc[0] = last
-        changed = before.notna() & (before != pdf["action"])
-        illegal = [bool(c) and (a, b) not in _ALLOWED for c, a, b in zip(changed, before, pdf["action"], strict=True)]
-        last = pdf["action"].iloc[-1]
-        bad = pdf[illegal]
-        yield pd.DataFrame({"event_id": bad["event_id"], "from_action": before[illegal], "action": bad["action"]})
-    state.update((last,))
 
+def transition_violations(log: DataFrame, late: str = LATE) -> DataFrame:
+    """Status changes the life cycle does not know, once the watermark has passed them. Append mode."""
+    return in_order(log, "batch_id", F.col("action"), _check_transitions, "last string", "event_id bigint, from_action string, action string", late)
 
-def transition_violations(log: DataFrame) -> DataFrame:
-    """Status changes the life cycle does not know, as they arrive."""
-    rows = log.select("batch_id", "ts", "event_id", "action")
-    return rows.groupBy("batch_id").applyInPandasWithState(
-        _check_transitions, "event_id bigint, from_action string, action string", "last string", "append", GroupStateTimeout.NoTimeout
-    )
 
-
-def _count_failures(threshold: int, open_seconds: int):
-    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        for pdf in chunks:
-            pdf = _in_order(pdf)
-            failed = pdf["failed"].to_numpy()
-            streaks = []
-            for f in failed:
-                streak = streak + 1 if f else 0
-                streaks.append(streak)
-            pdf = pdf.assign(streak=streaks)
-            hit = pdf[pdf["streak"] >= threshold]
-            micros = hit["us"].astype("int64") + open_seconds * 1_000_000
-            yield pd.DataFrame({"event_id": hit["event_id"], "streak": hit["streak"], "open_until_us": micros})
-        state.update((streak,))
+def _count_failures(threshold: int, open_seconds: int) -> Step:
+    def run(streak: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        failed = rows["tag"] == "true"
+        runs = (~failed).cumsum()
+        streaks = failed.groupby(runs).cumsum() + (runs == 0) * (streak[0] if streak else 0)
+        hit = failed & (streaks >= threshold)
+        until = rows["us"] + open_seconds * 1_000_000
+        return (int(streaks.iloc[-1]),), pd.DataFrame({"event_id": rows["event_id"][hit], "streak": streaks[hit], "open_until_us": until[hit]})
 
     return run
 
 
-def breaker(log: DataFrame, failed: Column, threshold: int = 3, open_seconds: int = 60) -> DataFrame:
-    """Failures that complete a streak, with the end of the pause they cause."""
-    rows = log.select("batch_id", "ts", "event_id", failed.alias("failed"), F.unix_micros("ts").alias("us"))
-    return rows.groupBy("batch_id").applyInPandasWithState(
-        _count_failures(threshold, open_seconds), "event_id bigint, streak bigint, open_until_us bigint", "streak bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _expire(hours: int, terminal: tuple):
-    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            born, done = state.get
-            state.remove()
-            if not done:
-                yield pd.DataFrame({"batch_id": [key[0]], "created_us": [born], "expired_us": [born + hours * 3_600_000_000]})
-            return
-        born, done = state.get if state.exists else (None, False)
-        for pdf in chunks:
-            first = int(pdf["us"].min())
-            born = first if born is None else min(born, first)
-            done = bool(done or pdf["action"].isin(terminal).any())
-        state.update((born, done))
-        state.setTimeoutTimestamp(max((born + hours * 3_600_000_000) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+def breaker(log: DataFrame, failed: Column, threshold: int = 3, open_seconds: int = 60, late: str = LATE) -> DataFrame:
+    """Failures that complete a streak, with the end of the pause they cause, once the watermark has passed them. Append mode."""
+    step = _count_failures(threshold, open_seconds)
+    return in_order(log, "batch_id", F.coalesce(failed, F.lit(False)), step, "streak bigint", "event_id bigint, streak bigint, open_until_us bigint", late)
 
-    return run
 
-
-def expiry(log: DataFrame, hours: int = 48, terminal=tuple(K.TERMINAL_STATUSES)) -> DataFrame:
-    """Batches without a terminal status ``hours`` after their first event, by an event-time timer."""
-    rows = log.withWatermark("ts", LATE).select("batch_id", "ts", "action", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("batch_id").applyInPandasWithState(
-        _expire(hours, tuple(terminal)), "batch_id bigint, created_us bigint, expired_us bigint", "born bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def expiry(log: DataFrame, hours: int = 48, terminal=tuple(K.TERMINAL_STATUSES), late: str = LATE) -> DataFrame:
+    """Batches without a terminal status within ``hours`` of their first event. Append mode."""
+    return expiring(log, "batch_id", F.col("action").isin(list(terminal)), hours, late).withColumnRenamed("key", "batch_id")
 
 
 def rule_counts(fields: DataFrame, rules: DataFrame) -> DataFrame:

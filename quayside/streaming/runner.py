@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,66 @@ def table_stream(spark: SparkSession, base: str, name: str, max_files: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+@dataclass
+class Closing:
+    """A last row for a replay, whose time lies beyond all others, so that the watermark passes them. It has nulls
+    elsewhere; drop it from results by its null key. ``stream`` is its place in the feed, empty until ``write``."""
 
+    row: DataFrame
+    path: str
 
-def append_to_table(stream: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Append-only sink (exactly once through the file sink's log); returns the written table."""
+    @property
+    def stream(self) -> DataFrame:
+        spark = self.row.sparkSession
+        self.row.limit(0).write.mode("overwrite").parquet(self.path)
+        return spark.readStream.schema(self.row.schema).parquet(self.path)
+
+    def write(self) -> None:
+        self.row.coalesce(1).write.mode("append").parquet(self.path)
+
+
+def closing_row(table: DataFrame, ts: str, after: str, label: str) -> Closing:
+    """The row ``after`` the newest one of ``table``."""
+    at = table.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.col(ts).cast(f.dataType).alias(ts) for f in table.schema]
+    return Closing(at.select(*empty), fresh_path(table.sparkSession, label))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
+    """Read all there is and stop. State lives in files beside the task, so that it may be larger than memory; timers need that store."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ON_DISK)
+    try:
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def append_to_table(stream: DataFrame, label: str, partition_by: Sequence[str] = (), closing: Closing | None = None) -> DataFrame:
+    """Append-only sink (exactly once through the file sink's log); returns the written table.
+
+    With ``closing`` the row that ends the replay is written, and read, after all others."""
     spark = stream.sparkSession
     out = fresh_path(spark, label)
-    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/table")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    _drain(writer, f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table")
+
+    def drain() -> None:
+        writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/table")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        _drain(spark, writer, f"{out}/checkpoint")
+
+    drain()
+    if closing is not None:
+        closing.write()
+        drain()
+    return spark.read.schema(stream.schema).parquet(f"{out}/table")
 
 
 def upsert_to_table(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
@@ -44,7 +91,7 @@ def upsert_to_table(stream: DataFrame, label: str, keys: Sequence[str]) -> DataF
     def keep(changed: DataFrame, epoch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
 
-    _drain(stream.writeStream.outputMode("update").foreachBatch(keep), f"{out}/checkpoint")
+    _drain(spark, stream.writeStream.outputMode("update").foreachBatch(keep), f"{out}/checkpoint")
     written = spark.read.parquet(f"{out}/table")
     rest = [c for c in written.columns if c not in (*keys, "epoch")]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_row")).select(*keys, "_row.*")
@@ -58,17 +105,7 @@ def each_batch_to_table(stream: DataFrame, label: str, work: Callable[[DataFrame
     def keep(rows: DataFrame, epoch: int) -> None:
         work(rows).write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")
 
-    _drain(stream.writeStream.foreachBatch(keep), f"{out}/checkpoint")
+    _drain(spark, stream.writeStream.foreachBatch(keep), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table").drop("epoch")
 
 
-def closing_row(spark: SparkSession, table: DataFrame, ts: str, after: str, label: str) -> DataFrame:
-    """Stream of one row whose time lies ``after`` the newest one, so that append-mode windows close on a replay.
-
-    The row has nulls elsewhere; drop it from the result by its null key.
-    """
-    at = table.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts))
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != ts else F.col(ts).cast(f.dataType).alias(ts) for f in table.schema]
-    path = fresh_path(spark, label)
-    at.select(*empty).write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)

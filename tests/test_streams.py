@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quayside import constants as K
 from quayside.operators import history as H
 from quayside.plans import bindings as B
 from quayside.sources.tables import read_table
@@ -21,6 +22,16 @@ def parts(spark, base, tmp_path_factory):
     return str(out)
 
 
+@pytest.fixture(scope="module")
+def mixed(spark, base, tmp_path_factory):
+    """The event table in three files that each hold a third of every day, in no order."""
+    out = tmp_path_factory.mktemp("mixed")
+    for third in (2, 0, 1):
+        rows = read_table(spark, base, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == third)
+        rows.orderBy(F.xxhash64("event_id", F.lit(1))).coalesce(1).write.mode("append").parquet(f"{out}/events.parquet")
+    return str(out)
+
+
 def feed(spark, parts):
     return B.shape_events(R.table_stream(spark, parts, "events", max_files=1))
 
@@ -30,11 +41,30 @@ def same(a, b):
 
 
 def test_status_is_the_last_one(spark, base, parts):
-    got = R.upsert_to_table(J.latest_status(feed(spark, parts)), "t", ["batch_id"]).select("batch_id", "status", "updates")
+    got = J.latest_status(R.each_batch_to_table(feed(spark, parts), "t", J.status_changes)).select("batch_id", "status", "updates")
     want = B.events(spark, base).groupBy("batch_id").agg(F.max_by("action", F.struct("ts", "event_id")).alias("status"), F.count(F.lit(1)).alias("updates"))
     same(got, want)
 
 
+def test_running_views_do_not_depend_on_the_order_of_files(spark, base, mixed):
+    events = B.events(spark, base)
+    same(J.first_terminal(R.each_batch_to_table(feed(spark, mixed), "t", J.terminal_changes)), J.first_terminal(J.terminal_changes(events)))
+    same(J.quota_per_month(R.each_batch_to_table(feed(spark, mixed), "t", J.quota_changes)), J.quota_per_month(J.quota_changes(events)))
+
+
+def test_latency_sketch_keeps_its_error_and_the_last_bin_is_open(spark, tmp_path):
+    """Forty micro-batches of skewed values; ranks of the merged sketch are held against the exact ones."""
+    n = 400_000
+    value = F.pow(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 1000.0, 2) - 10
+    rows = spark.range(n).select(F.lit("x").alias("action"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 100).alias("ts"), value.alias("amount"))
+    rows.repartition(40).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = J.daily_latency(R.each_batch_to_table(stream, "t", J.latency_changes)).first()
+    rank = rows.where(F.col("amount") <= got.p95).count() / n
+    assert abs(rank - 0.95) < 0.001 and got.n == n
+    assert got.below + got.from_0 + got.from_25 + got.from_50 + got.from_75 + got.from_100 == n and got.below and got.from_100 > n / 2
+
+
 def test_drift_windows_accumulate_over_batches(spark, base, parts):
     got = R.upsert_to_table(J.drift_windows(feed(spark, parts), 60), "t", ["start", "field_name"])
     e = B.events(spark, base).select("field_name", F.explode(F.sequence(F.date_sub(F.to_date("ts"), 29), F.to_date("ts"))).alias("d"))
@@ -42,11 +72,68 @@ def test_drift_windows_accumulate_over_batches(spark, base, parts):
     same(got, want)
 
 
-def test_breaker_equals_its_batch_twin(spark, base, parts):
-    # file order is not key order, so the state is checked on one ordered feed
-    failed = F.col("action").isin("rejected", "preprocessing")
-    got = R.append_to_table(J.breaker(B.shape_events(R.table_stream(spark, base, "events")), failed), "t").select("event_id", "streak")
-    same(got, H.failure_streaks(B.events(spark, base), failed))
+def failed():
+    return F.col("action").isin("rejected", "preprocessing")
+
+
+def closed(spark, base, files, max_files):
+    closing = R.closing_row(read_table(spark, base, "events"), "ts", "70 DAYS", "closing")
+    return B.shape_events(R.table_stream(spark, files, "events", max_files).unionByName(closing.stream)), closing
+
+
+@pytest.mark.parametrize("max_files", [1, 2])
+def test_ordered_state_equals_the_batch_twins_for_any_file_order(spark, base, mixed, max_files):
+    """Every file holds events of the whole month, so that each micro-batch goes back behind the one before."""
+    events = B.events(spark, base)
+    rows, closing = closed(spark, base, mixed, max_files)
+    got = R.append_to_table(J.breaker(rows, failed(), late="60 days"), "t", closing=closing).select("event_id", "streak")
+    same(got, H.failure_streaks(events, failed()))
+    rows, closing = closed(spark, base, mixed, max_files)
+    got = R.append_to_table(J.transition_violations(rows, "60 days"), "t", closing=closing).where("event_id IS NOT NULL")
+    allowed = spark.createDataFrame([(a, b) for a, bs in K.LIFE_CYCLE.items() for b in bs], "from_state string, to_state string")
+    same(got, H.illegal_transitions(events, allowed).select("event_id", "from_action", "action"))
+
+
+def test_a_key_larger_than_any_chunk_is_judged_in_order(spark, tmp_path):
+    """One batch sends 35,000 rows of one key in shuffled order, all in one slot; another key alternates over many slots."""
+    rows = spark.range(35_000).select(F.lit(1).cast("long").alias("batch_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 5 == 4).alias("fine"))
+    other = spark.range(300).select(F.lit(2).cast("long").alias("batch_id"), F.timestamp_seconds(F.lit(1_690_000_000) + F.col("id") * 40_000).alias("ts"), (F.col("id") + 50_000).alias("event_id"), F.lit(False).alias("fine"))
+    every = rows.unionByName(other)
+    every.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    closing = R.closing_row(every, "ts", "30 DAYS", "closing")
+    stream = spark.readStream.schema(every.schema).parquet(f"{tmp_path}/in").unionByName(closing.stream)
+    got = R.append_to_table(J.breaker(stream, ~F.col("fine"), late="20 days"), "t", closing=closing).select("event_id", "streak")
+    same(got, H.failure_streaks(every, ~F.col("fine")))
+
+
+def test_expired_batches_stay_expired_and_are_forgotten(spark, tmp_path):
+    """Micro-batch by micro-batch: an end in time, an end too late, rows after the expiry, and a key that comes back after its tombstone is gone."""
+    day = 86_400
+    files = [
+        [(1, 0, "uploaded"), (2, 0, "uploaded"), (3, 0, "uploaded"), (2, 1, "accepted")],
+        [(9, 9, "uploaded")],  # the watermark passes the limit of 1 and 3: both expire
+        [(1, 9, "validated"), (3, 9, "accepted"), (9, 10, "accepted")],  # too late to matter, and no second event
+        [(9, 20, "uploaded"), (1, 20, "uploaded")],
+        [(9, 90, "uploaded")],  # every tombstone is gone by now
+        [(1, 95, "uploaded"), (9, 95, "accepted")],  # a new life of key 1
+        [(9, 120, "uploaded")],
+    ]
+    stream_at = f"{tmp_path}/in"
+    schema = "batch_id long, ts timestamp, event_id long, action string"
+    spark.createDataFrame([], schema).write.parquet(stream_at)
+    got, sizes = [], []
+    for i, rows in enumerate(files):
+        part = spark.createDataFrame([(k, d * day, i * 10 + n, a) for n, (k, d, a) in enumerate(rows)], "k long, at long, e long, a string")
+        part.select(F.col("k").alias("batch_id"), F.timestamp_seconds(F.col("at") + 1_700_000_000).alias("ts"), F.col("e").alias("event_id"), F.col("a").alias("action")).coalesce(1).write.mode("append").parquet(stream_at)
+        stream = spark.readStream.schema(schema).parquet(stream_at)
+        spark.conf.set(R.STATE_STORE, R.ON_DISK)
+        q = J.expiry(stream, 48, ("accepted",), "1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.conf.unset(R.STATE_STORE)
+        got.append(sorted(r[0] for r in spark.read.schema("batch_id long, created_us long, expired_us long").parquet(f"{tmp_path}/out").collect()))
+        sizes.append(q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert got == [[], [1, 3], [1, 3], [1, 3], [1, 3], [1, 3], [1, 1, 3]]
+    assert sizes[4] <= sizes[0] and sizes[6] <= sizes[0]  # keys that are gone leave nothing behind
 
 
 def test_append_is_complete_and_repeatable(spark, base, parts):
