@@ -61,7 +61,6 @@ TOTALS_PATTERNS = {
     "packing_list": (r"\bTOTAL\s*\(.+?\)\s+(\d[\d,]*)\s+(?:CARTONS|CTNS|PACKAGES).*?([0-9,.]+)\s+([0-9,.]+)\s+[0-9,.]+", 1, 3),
 }
 HS_LABEL = "HS CODE"
-HS_REACH = 900
 MONEY_TEXT_FIELDS = ["fob_value", "freight_value", "insurance_value", "cif_value"]
 EVIDENCE_NUMBER_FIELDS = ["gross_weight", "cif_value", "fob_value", "freight_value", "insurance_value", "total_packages"]
 # Words in a file name that tell the document type; the first group that occurs decides.
@@ -103,9 +102,9 @@ def fallback_fields(text: Column) -> dict[str, Column]:
 
 
 def hs_near_label(text: Column) -> Column:
-    """Eight digits after the label, else six; nothing without the label."""
+    """The first eight digits anywhere after a label, else the first six; nothing without the label."""
     at = F.instr(F.upper(text), HS_LABEL)
-    reach = F.substr(text, at, F.lit(HS_REACH))
+    reach = F.substr(text, at)
     code = F.coalesce(_group(reach, r"\b(\d{8})\b"), _group(reach, r"\b(\d{6})\b"))
     return F.when(at > 0, code)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from quayside import constants as K
 from quayside.functions import validate as V
 from quayside.functions.common import dec, rnd
 from quayside.operators.ordered import hour_bucket, neighbour, numbered, running
+from quayside.sources.tables import stored
 
 
 def rejection_rates(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -112,10 +114,9 @@ def rejection_cube(batches: DataFrame, dims: Sequence[str]) -> DataFrame:
     return batches.cube(*dims).agg(n.alias("n"), rnd(F.count_if("rejected") / n, 6).alias("rejection_rate"), F.grouping_id().cast("int").alias("level"))
 
 
-def correction_heat_map(corrections: DataFrame, weeks: Sequence[int]) -> DataFrame:
-    """Corrections by field and week of the year, one column per week."""
-    week = F.weekofyear("ts")
-    return corrections.groupBy("field_name").agg(*[F.count_if(week == w).alias(f"week_{w}") for w in weeks])
+def correction_heat_map(corrections: DataFrame) -> DataFrame:
+    """Corrections by field and week, one row for each week (ISO year and number) in which there were any."""
+    return corrections.groupBy("field_name", F.expr("extract(YEAROFWEEK FROM ts)").cast("int").alias("iso_year"), F.weekofyear("ts").alias("week")).agg(F.count(F.lit(1)).alias("corrections"))
 
 
 def first_attempt_rate(attempts: DataFrame) -> DataFrame:
@@ -233,18 +234,36 @@ def outcome_labels(submissions: DataFrame, outcomes: DataFrame, corrections: Dat
     )
 
 
-def submission_chain(submissions: DataFrame, max_depth: int = K.MAX_ATTEMPTS) -> DataFrame:
-    """Root and depth of every resubmission. Attempts are limited, so a fixed chain of equality joins walks to the root."""
-    parents = submissions.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"))
-    walk = submissions.select("id", F.col("parent").alias("up"), F.col("id").alias("root"), F.lit(0).alias("depth"))
-    for _ in range(max_depth):
-        walk = walk.join(parents, walk["up"] == parents["p_id"], "left").select(
-            "id", F.col("p_parent").alias("up"), F.coalesce("p_id", "root").alias("root"), (F.col("depth") + F.when(F.col("p_id").isNotNull(), 1).otherwise(0)).alias("depth"),
-        )
-    return walk.select("id", "root", "depth")
+def submission_chain(submissions: DataFrame) -> DataFrame:
+    """(id, root, depth, cyclic) of every resubmission, whatever the length of its chain.
+
+    Pointer doubling: each round a row that has not reached its root jumps to where the row it points at points, so that rounds follow the logarithm of the
+    longest chain. Rows that arrived drop out of the join. Depths along a chain have no gaps, so a round in which nobody arrives
+    ends the work: what is left runs in circles (or into one) and has no root. A parent that does not exist counts as none, a repeated id takes its smallest parent.
+    Each round is a table in the shared folder.
+    """
+    one = submissions.groupBy("id").agg(F.min("parent").alias("parent"))
+    known = stored(one, "submissions")
+    parents = known.select(F.col("id").alias("parent"), F.lit(True).alias("found"))
+    first = known.join(parents, "parent", "left").select("id", F.when(F.col("found"), F.col("parent")).alias("parent"))
+    walk = stored(first.select("id", F.coalesce("parent", "id").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("steps"), F.col("parent").isNull().alias("arrived")), "chain")
+    arrived = [walk.where("arrived")]
+    walking = walk.where("NOT arrived")
+    while not walking.isEmpty():
+        ahead = walk.select(F.col("id").alias("at"), F.col("at").alias("next_at"), F.col("steps").alias("more"), F.col("arrived").alias("there"))
+        step = stored(walking.join(ahead, "at").select("id", F.col("next_at").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("arrived")), "chain")
+        if step.where("arrived").isEmpty():
+            break
+        arrived.append(step.where("arrived"))
+        walking = step.where("NOT arrived")
+        walk = stored(functools.reduce(DataFrame.unionByName, [*arrived, walking]), "chain")
+    out = functools.reduce(DataFrame.unionByName, arrived).select("id", F.col("at").alias("root"), F.col("steps").alias("depth"), F.lit(False).alias("cyclic"))
+    lost = walking.select("id", F.lit(None).cast(known.schema["id"].dataType).alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
+    return out.unionByName(lost)
 
 
 def chain_summary(chain: DataFrame) -> DataFrame:
+    """Attempts and submissions per root; submissions that run in circles are one row without a root."""
     return chain.groupBy("root").agg((F.max("depth") + 1).alias("attempts"), F.count(F.lit(1)).alias("submissions"))
 
 

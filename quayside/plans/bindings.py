@@ -148,20 +148,23 @@ def text_documents(spark: SparkSession, base: str) -> DataFrame:
 
 
 def eval_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Ground truth (two accepted spellings) and a prediction per document; the truth is a title cut from the text."""
-    docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    title = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30)
+    """Ground truth (two accepted spellings) and a prediction for every sentence of every document; ``doc_id`` names the sentence."""
+    docs = spread(read_table(spark, base, "documents", ["doc_id", "text"]), "doc_id")
+    cut = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", r"[.\n]+")).alias("line", "raw"))
+    title = F.trim(F.regexp_replace("raw", r"\s+", " "))
+    rows = cut.select("source_id", "line", title.alias("title")).where("title <> ''")
     names = list(K.EVAL_FIELD_WEIGHTS)
-    field = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
-    return docs.select(
-        "doc_id",
+    turn = F.col("source_id") + F.col("line")
+    field = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(turn, F.lit(len(names))) + 1).cast("int"))
+    return rows.select(
+        F.concat_ws("-", "source_id", "line").alias("doc_id"), "source_id",
         field.alias("field"),
-        F.array(title, F.substring(title, 5, 26)).alias("gt"),
-        F.when(F.pmod("doc_id", F.lit(11)) == 0, F.lit(None))
-        .when(F.pmod("doc_id", F.lit(3)) == 0, F.regexp_replace(title, "e", "o"))
-        .otherwise(title).alias("pred"),
+        F.array(F.col("title"), F.expr("substring(title, 5)")).alias("gt"),
+        F.when(F.pmod(turn, F.lit(11)) == 0, F.lit(None))
+        .when(F.pmod(turn, F.lit(3)) == 0, F.regexp_replace("title", "e", "o"))
+        .otherwise(F.col("title")).alias("pred"),
         _lookup(K.EVAL_FIELD_WEIGHTS, field).alias("weight"),
-        F.when(F.pmod("doc_id", F.lit(5)) == 0, "val").otherwise("train").alias("split"),
+        F.when(F.pmod("source_id", F.lit(5)) == 0, "val").otherwise("train").alias("split"),
     )
 
 
@@ -298,11 +301,11 @@ ORACLE: dict[str, tuple[list[str], str]] = {
         value AS amount, event_id // 2 AS idem_key FROM events"""),
     "b5": ([], """SELECT d.doc_id, text, lang, source, n_chars, (1 + n_chars // 3000)::BIGINT AS page_count, quality FROM documents d
         LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id"""),
-    "b6": ([], f"""SELECT doc_id, field, gt1, substr(gt1, 5, 26) AS gt2, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0
+    "b6": ([], f"""SELECT source_id::VARCHAR || '-' || line::VARCHAR AS doc_id, source_id, field, gt1, substr(gt1, 5) AS gt2, CASE WHEN (source_id + line) % 11 = 0 THEN NULL WHEN (source_id + line) % 3 = 0
         THEN replace(gt1, 'e', 'o') ELSE gt1 END AS pred, (CASE field {_EVAL_WEIGHTS} END)::DOUBLE AS weight,
-        CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split
-        FROM (SELECT doc_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 30) AS gt1,
-              ([{_EVAL_NAMES}])[(doc_id % {len(K.EVAL_FIELD_WEIGHTS)})::INT + 1] AS field FROM documents)"""),
+        CASE WHEN source_id % 5 = 0 THEN 'val' ELSE 'train' END AS split
+        FROM (SELECT source_id, line, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS gt1, ([{_EVAL_NAMES}])[((source_id + line) % {len(K.EVAL_FIELD_WEIGHTS)})::INT + 1] AS field
+              FROM (SELECT doc_id AS source_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS line FROM (SELECT doc_id, string_split_regex(text, '[.\\n]+') AS parts FROM documents))) WHERE gt1 <> ''"""),
     "positions": ([], """SELECT user_id AS imo, 'VESSEL ' || user_id::VARCHAR AS vessel_name, ts, event_id,
         ts + to_days(((props->>'k')::BIGINT % 10)::INT) AS eta, value AS speed, (props->>'k')::BIGINT * 5 AS heading FROM events"""),
     "lineups": ([], """SELECT l_suppkey AS imo, n_name AS port, l_shipdate AS eta FROM lineitem

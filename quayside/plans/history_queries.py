@@ -8,6 +8,7 @@ from quayside import constants as K
 from quayside.functions.common import rnd
 from quayside.functions.normalize import normalize_carrier_date
 from quayside.operators import history as H
+from quayside.operators.ordered import hour_bucket, neighbour
 from quayside.operators.maritime import resolve_port
 from quayside.plans import bindings as B
 from quayside.plans.bindings import oracle
@@ -108,15 +109,15 @@ def _trend(spark, base):
     return H.score_trend(scored(spark, base).select("batch_id", "score").join(B.batches(spark, base).select("batch_id", "created_at"), "batch_id"))
 
 
-@query("analytics_breakdowns", oracle(f"SELECT tier, priority, chapter, count(*) AS n, {_r('count(*) FILTER (rejected) / count(*)::DOUBLE', 6)} AS rejection_rate, grouping_id(tier, priority, chapter)::INT AS level FROM (SELECT b1.*, left(goods_code, 1) AS chapter FROM b1 JOIN items USING (batch_id)) GROUP BY CUBE (tier, priority, chapter)", "b1", "items"))
+@query("analytics_breakdowns", oracle(f"SELECT tier, priority, chapter, count(*) AS n, {_r('count(*) FILTER (rejected) / count(*)::DOUBLE', 6)} AS rejection_rate, grouping_id(tier, priority, chapter)::INT AS level FROM (SELECT b1.*, left(goods_code, 2) AS chapter FROM b1 JOIN items USING (batch_id)) GROUP BY CUBE (tier, priority, chapter)", "b1", "items"))
 def _breakdown(spark, base):
-    items = B.tariff_items(spark, base).select("batch_id", F.left("goods_code", F.lit(1)).alias("chapter"))
+    items = B.tariff_items(spark, base).select("batch_id", F.left("goods_code", F.lit(2)).alias("chapter"))
     return H.rejection_cube(B.batches(spark, base).join(items, "batch_id"), ["tier", "priority", "chapter"])
 
 
-@query("correction_heat_map", oracle("SELECT field_name, " + ", ".join(f"count(*) FILTER (week(ts) = {w}) AS week_{w}" for w in range(1, 6)) + " FROM b4 GROUP BY 1", "b4"))
+@query("correction_heat_map", oracle("SELECT field_name, isoyear(ts)::INT AS iso_year, week(ts)::INT AS week, count(*) AS corrections FROM b4 GROUP BY ALL", "b4"))
 def _heat(spark, base):
-    return H.correction_heat_map(B.events(spark, base), range(1, 6))
+    return H.correction_heat_map(B.events(spark, base))
 
 
 @query("first_attempt_rate", oracle(f"SELECT count(*) AS batches, {_r('count(*) FILTER (ok) / count(*)::DOUBLE', 6)} AS first_attempt_rate FROM (SELECT batch_id, arg_min(action = 'accepted', (ts, event_id)) AS ok FROM b4 WHERE action IN ('accepted','rejected') GROUP BY 1)", "b4"))
@@ -199,13 +200,15 @@ def _labels(spark, base):
     return H.outcome_labels(e.where("action = 'validated'"), done, e.where("action = 'preprocessing'"))
 
 
-_SUBS = "SELECT event_id AS id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id - 1 END AS parent FROM events"
+# a batch that was not accepted is handed in again with its next event: chains end where the data ends them
+_SUBS = "SELECT *, coalesce(lag(action) OVER w = 'accepted', true) AS is_root FROM b4 WINDOW w AS (PARTITION BY batch_id ORDER BY ts, event_id)"
+_CHAIN = "SELECT *, last_value(CASE WHEN is_root THEN event_id END IGNORE NULLS) OVER w AS root, last_value(CASE WHEN is_root THEN n END IGNORE NULLS) OVER w AS first FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS n FROM subs) WINDOW w AS (PARTITION BY batch_id ORDER BY n)"
 
 
-@query("submission_chain", oracle("SELECT root, max(depth)::INT + 1 AS attempts, count(*) AS submissions FROM chain GROUP BY 1", subs=_SUBS, chain="SELECT id, id - id % 6 AS root, id % 6 AS depth FROM subs"))
+@query("submission_chain", oracle("SELECT root, max(n - first)::INT + 1 AS attempts, count(*) AS submissions FROM chain GROUP BY 1", "b4", subs=_SUBS, chain=_CHAIN))
 def _chain(spark, base):
-    e = B.events(spark, base)
-    subs = e.select(F.col("event_id").alias("id"), F.when(F.pmod("event_id", F.lit(6)) != 0, F.col("event_id") - 1).alias("parent"))
+    before = neighbour(B.events(spark, base), ["batch_id"], ["ts", "event_id"], hour_bucket(F.col("ts")), ["action", "event_id"], -1, "last_")
+    subs = before.select(F.col("event_id").alias("id"), F.when(F.col("last_action") != "accepted", F.col("last_event_id")).alias("parent"))
     return H.chain_summary(H.submission_chain(subs))
 
 

@@ -209,10 +209,10 @@ def _union(spark, base):
     return d.unionByName(b).unionByName(p)
 
 
-@query("split_leakage", oracle("SELECT gt1 AS title FROM b6 WHERE split = 'train' INTERSECT SELECT gt1 FROM b6 WHERE split = 'val'", "b6"))
+@query("split_leakage", oracle("SELECT sha256(gt1) AS sha FROM b6 WHERE split = 'train' INTERSECT SELECT sha256(gt1) FROM b6 WHERE split = 'val'", "b6"))
 def _leak(spark, base):
-    pairs = B.eval_pairs(spark, base).select("split", F.col("gt")[0].alias("title"))
-    return pairs.where("split = 'train'").select("title").intersect(pairs.where("split = 'val'").select("title"))
+    pairs = B.eval_pairs(spark, base).select("split", F.sha2(F.col("gt")[0], 256).alias("sha"))
+    return pairs.where("split = 'train'").select("sha").intersect(pairs.where("split = 'val'").select("sha"))
 
 
 @query("poll_batch", oracle("SELECT batch_id, status, company_id FROM b1 WHERE status NOT IN ('accepted', 'rejected', 'failed') ORDER BY created_at, batch_id LIMIT 50", "b1"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.session import fresh_path
+
 
 def read_table(
     spark: SparkSession, base: str, name: str, cols: Sequence[str] | None = None, where: Column | str | None = None
@@ -24,6 +26,13 @@ def read_jdbc(spark: SparkSession, url: str, name: str, cols: Sequence[str], whe
     return (df.where(where) if where else df).select(*cols)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage of loops, and a lost executor loses nothing of it."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Planner's estimate of a frame's size, from file sizes and statistics; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -215,3 +215,30 @@ def test_model_queries_train_the_full_model_on_the_tables(spark, base, monkeypat
     got = model_queries._importance(spark, base).collect()
     assert asked == [(list(K.API_FEATURES), {})] * 2 and got and {r.feature for r in got} <= {*K.API_FEATURES}
     assert models.feature_importance(None, K.API_FEATURES, spark).count() == 0
+
+
+def test_submission_chains_of_any_length_and_circles(spark):
+    """Chains of 1 to 5,000, forks, an unknown parent, a repeated row, a circle of three and a tail that runs into it."""
+    long = spark.range(5000).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    few = spark.createDataFrame(
+        [(10_000, None), (10_001, 10_000), (10_002, 10_000), (10_003, 99_999), (10_003, 99_999), (20_000, 20_002), (20_001, 20_000), (20_002, 20_001), (20_003, 20_001), (30_000, 30_000)],
+        "id long, parent long",
+    )
+    got = {r.id: (r.root, r.depth, r.cyclic) for r in H.submission_chain(long.unionByName(few)).collect()}
+    assert len(got) == 5009 and all(got[i] == (0, i, False) for i in range(5000))
+    assert got[10_000] == (10_000, 0, False) and got[10_001] == got[10_002] == (10_000, 1, False) and got[10_003] == (10_003, 0, False)
+    assert {got[i] for i in (20_000, 20_001, 20_002, 20_003, 30_000)} == {(None, None, True)}
+    assert H.submission_chain(long.limit(0)).count() == 0
+
+
+def test_heat_map_keeps_years_apart(spark):
+    days = ["2024-12-30", "2025-01-02", "2025-12-28", "2023-01-01"]
+    rows = spark.createDataFrame([(d, "f") for d in days], "d string, field_name string").select(F.to_timestamp("d").alias("ts"), "field_name")
+    assert sorted(map(tuple, H.correction_heat_map(rows).collect())) == [("f", 2022, 52, 1), ("f", 2025, 1, 2), ("f", 2025, 52, 1)]
+
+
+def test_code_after_the_label_may_be_far_away(spark):
+    from quayside.functions import extract as X
+
+    text = "11112222 HS code: see below. " + "x " * 5000 + "848079 then 84807900"
+    assert spark.createDataFrame([(text,)], "t string").select(X.hs_near_label(F.col("t"))).first()[0] == "84807900"
