@@ -373,3 +373,21 @@ def test_preferences(spark):
     assert a.rejected == "<|im_end|>\n<|im_start|>user\nok<|im_end|>\n" and [(m.start, m.end) for m in a.rejected_mask] == [(0, 11)]
     assert (got[8].n_common, got[8].prompt) == (0, "") and [got[8].chosen[m.start : m.end] for m in got[8].chosen_mask] == ["yes<|im_end|>\n"]
     assert got[9].rejected == "" and preferences(turns.limit(0), pairs.limit(0)).count() == 0
+
+
+def test_prefix_tree_of_very_many_branchings():
+    """Three thousand sets that each miss another shingle: the tree branches once for each of them."""
+    every = np.arange(3000, dtype=np.int64)
+    sets = [np.delete(every, i) for i in range(3000)]
+    links = ngram_join.connected(np.arange(3000), sets, 90, 100)
+    top = list(range(3000))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        assert len(np.intersect1d(sets[a], sets[b])) * 100 >= 90 * len(np.union1d(sets[a], sets[b]))
+        top[find(a)] = find(b)
+    assert len({find(i) for i in range(3000)}) == 1
