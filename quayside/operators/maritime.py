@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside import constants as K
 from quayside.functions.common import rnd
-from quayside.operators.matching import containing_names
+from quayside.operators.matching import best_containing
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -21,8 +21,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def latest_position(batches: DataFrame, ais: DataFrame, as_of: Column | None = None, within_days: int | None = None) -> DataFrame:
     """Latest known position whose vessel name contains the batch's vessel name.
 
-    The position log is reduced to one row per vessel first; names are matched once per distinct
-    name and joined back by equality.
+    The position log is reduced to one row per vessel first; each distinct name is looked up once and joined back by equality.
     """
     if as_of is not None:
         ais = ais.where(F.col("ts") <= as_of)
@@ -30,11 +29,9 @@ def latest_position(batches: DataFrame, ais: DataFrame, as_of: Column | None = N
             ais = ais.where(F.col("ts") > as_of - F.expr(f"INTERVAL {int(within_days)} DAYS"))
     newest = latest_per_key(ais.withColumn("name", F.lower("vessel_name")), ["name"], ["ts", "event_id"])
     named = batches.withColumn("want", F.lower("vessel_name"))
-    pairs = containing_names(named, newest)
-    best = pairs.join(newest, "name").groupBy("want").agg(
-        F.max_by(F.struct(F.col("vessel_name").alias("ais_name"), F.col("ts").alias("position_ts"), "eta", "speed"), F.struct("ts", "event_id")).alias("p")
-    )
-    return named.join(best, "want", "left").select(*batches.columns, "p.*")
+    position = F.struct(F.col("vessel_name").alias("ais_name"), F.col("ts").alias("position_ts"), "eta", "speed")
+    best = best_containing(named, newest, F.max_by(position, F.struct("ts", "event_id")))
+    return named.join(best, "want", "left").select(*batches.columns, "best.*")
 
 
 def latest_position_by_id(batches: DataFrame, ais: DataFrame, as_of: Column, within_days: int = 30) -> DataFrame:

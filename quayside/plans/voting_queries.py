@@ -207,9 +207,16 @@ def _containers(spark, base):
     return vote.merge_containers(main, rest)
 
 
+# what a document of each type should hold is a table of a few rows: the readings join it, and nothing joins the readings to themselves
+_KINDS = "SELECT doc_type, unnest(names) AS field, len(names) AS wanted FROM (VALUES " + ", ".join(f"('{t}', [{n}])" for t, n in NAMES.items()) + ") v(doc_type, names)"
+
+
 @query("confidence_cap", rec_sql("""SELECT r.batch_id, r.doc_id, r.field, route, CASE WHEN route = 'DEGRADED' THEN least(r.confidence, 0.8) ELSE r.confidence END AS confidence
-    FROM rec r JOIN (SELECT w.doc_id, CASE WHEN 1 - count(r2.value) / count(*)::DOUBLE > 0.75 THEN 'DEGRADED' ELSE 'STANDARD' END AS route
-      FROM wanted w LEFT JOIN rec r2 ON w.doc_id = r2.doc_id AND w.field = r2.field GROUP BY 1) q ON r.doc_id = q.doc_id""", "docs", wanted=WANTED))
+    FROM kept r JOIN routes q ON r.batch_id = q.batch_id AND r.doc_id = q.doc_id""", kinds=_KINDS, **{
+    "kept": "SELECT DISTINCT batch_id, doc_id, doc_type, field, value, confidence FROM rec",
+    "routes": """SELECT batch_id, doc_id, CASE WHEN 1 - count(CASE WHEN k.field IS NOT NULL THEN value END) / max(n)::DOUBLE > 0.75 THEN 'DEGRADED' ELSE 'STANDARD' END AS route
+      FROM kept JOIN (SELECT doc_type, max(wanted) AS n FROM kinds GROUP BY 1) USING (doc_type) LEFT JOIN kinds k USING (doc_type, field) GROUP BY 1, 2""",
+}))
 def _cap(spark, base):
     capped = vote.cap_confidence(reconciled(spark, base), B.documents_of_batches(spark, base), max_empty=0.75)
     return capped.select("batch_id", "doc_id", "field", "route", "confidence")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quayside.operators import assembly as A
 from quayside.operators import history as H
+from quayside.operators import maritime as M
 from quayside.operators import rules as R
 from quayside.operators import scoring as S
 from quayside.operators import search
-from quayside.operators.matching import containing_names
+from quayside.operators.matching import best_containing
 from quayside.operators.ordered import neighbour, numbered, pages, running
 from quayside.sources.dims import rule_list
 from quayside.sources.files import ingest_files
@@ -76,22 +77,45 @@ def test_grade_bounds(spark, profile, score, want):
 
 
 def test_containment_against_all_pairs(spark):
-    known = ["EVER GIVEN", "EVER GREEN", "GIVE", "AB", "CAP VERDE", "RDE", "X"]
-    want = ["EVER", "GIVE", "E", "RDE", "AB", "ZZZ", "X", "VER"]
-    got = containing_names(spark.createDataFrame([(w,) for w in want], "want string"), spark.createDataFrame([(k,) for k in known], "name string"))
-    assert sorted(map(tuple, got.collect())) == sorted((w, k) for w in want for k in known if w in k)
+    known = ["EVER GIVEN", "EVER GREEN", "GIVE", "AB", "CAP VERDE", "RDE", "X", "", None]
+    want = ["EVER", "GIVE", "E", "RDE", "AB", "ZZZ", "X", "VER", "EVER", "", None, "longer than any of them"]
+    names = spark.createDataFrame([(k,) for k in known], "name string")
+    got = best_containing(spark.createDataFrame([(w,) for w in want], "want string"), names, F.sort_array(F.collect_set("name")))
+    held = {w: sorted(k for k in known if k and w in k) for w in want if w}
+    assert {r.want: r.best for r in got.collect()} == {w: ks for w, ks in held.items() if ks}
+
+
+def test_a_word_that_every_vessel_shares_is_one_row_per_task(spark):
+    """100,000 names with a common word: a batch that names only this word gets the newest position, and no pairs are made."""
+    fleet = spark.range(0, 100_000, 1, 4).select(
+        F.concat(F.lit("Vessel "), F.col("id").cast("string")).alias("vessel_name"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7919 % 100_003).alias("ts"),
+        F.col("id").alias("event_id"), F.lit(None).cast("timestamp").alias("eta"), F.col("id").cast("double").alias("speed"),
+    )
+    batches = spark.createDataFrame([(1, "VESSEL"), (2, "vessel 99999"), (3, "l 4242"), (4, "none"), (5, None)], "batch_id long, vessel_name string")
+    got = {r.batch_id: r.ais_name for r in M.latest_position(batches, fleet).collect()}
+    newest = max(range(100_000), key=lambda i: (i * 7919 % 100_003, i))
+    near = max((i for i in range(100_000) if str(i).startswith("4242")), key=lambda i: i * 7919 % 100_003)
+    assert got == {1: f"Vessel {newest}", 2: "Vessel 99999", 3: f"Vessel {near}", 4: None, 5: None}
 
 
-def test_tiles_and_matrix_and_brute_force_agree(spark):
+def test_every_grid_and_brute_force_agree(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(90, 8))
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, embedding array<double>")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, embedding array<double>").repartition(3)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit @ unit.T, 6)
     want = sorted((q, c, p + 1) for q in range(90) for p, c in enumerate(sorted((c for c in range(90) if c != q), key=lambda c: (-sims[q, c], c))[:4]))
-    for limits in ({}, {"max_bytes": 0, "tile_rows": 16}):
-        got = search.nearest(df, df, 4, **limits).select("query_id", "match_id", "place").collect()
+    for grid in ({}, {"tile_bytes": 16 * 64, "slices": 3}, {"tile_bytes": 1}, {"slices": 1}):
+        got = search.nearest(df, df, 4, **grid).select("query_id", "match_id", "place").collect()
         assert sorted(map(tuple, got)) == want
+    assert search.nearest(df, df.limit(0), 4).count() == 0 and search.nearest(df.limit(0), df, 4).count() == 0
+
+
+def test_ids_that_repeat_do_not_gather_in_one_tile(spark):
+    rows = spark.range(0, 4000, 1, 4).select(F.lit(7).cast("long").alias("id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<double>")
+    got = search.nearest(asked, rows, 5, tile_bytes=500 * 16, slices=2)
+    assert got.count() == 5 and {r.match_id for r in got.collect()} == {7}
 
 
 def _root(leaves):
