@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside import constants as K
+from quayside.functions import validate as V
 from quayside.functions.common import rnd
 from quayside.operators.ordered import running
 
@@ -101,17 +102,24 @@ def api_features(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def wide_features(df: DataFrame) -> dict[str, Column]:
-    """The document, value, importer and timing signals of the long feature list, from the per-batch aggregates."""
-    c = F.col
+def rejection_features(df: DataFrame) -> dict[str, Column]:
+    """The full list of signals of a submission: documents, tariff code, values, importer, completeness, vessel and time. Texts stay
+    categories (``hs_chapter``, ``shipper_country_code``); the last three are the rates and the congestion of the vessel signals."""
+    c, flag = F.col, lambda test: F.coalesce(test, F.lit(False)).cast("double")
     return {
         "avg_ocr_confidence": c("agreement"), "num_low_confidence_fields": c("missing").cast("double"), "num_operator_corrections": c("disagreements").cast("double"),
-        "had_cross_doc_warnings": (c("warnings") > 0).cast("double"), "had_critical_validation_failures": (c("critical") > 0).cast("double"),
-        "agent_disagreement_rate": 1.0 - c("agreement"), "hs_code_confidence": c("hs_conf"), "hs_code_ai_suggested": (c("hs_conf") < 0.75).cast("double"),
-        "cif_value_usd": c("cif_value"), "cif_per_unit_usd": F.coalesce(F.try_divide(c("cif_value"), c("package_count")), F.lit(0.0)),
-        "cif_fob_ratio": F.coalesce(F.try_divide(c("cif_value"), c("gross_weight")), F.lit(0.0)), "importer_rejection_rate": c("importer_rejection_rate"),
-        "importer_submissions": c("importer_submissions").cast("double"), "all_required_fields_filled": (c("completeness") == 1.0).cast("double"),
-        "vessel_critical": (c("vessel_status") == "critical").cast("double"), "crs_score": c("score").cast("double"),
+        "had_cross_doc_warnings": flag(c("warnings") > 0), "had_critical_validation_failures": flag(c("critical") > 0),
+        "had_lartas_flag": flag(c("chapter").isin(list(K.RESTRICTED_CHAPTERS))), "agent_disagreement_rate": 1.0 - c("agreement"),
+        "hs_code_ai_suggested": flag(c("hs_conf") < 0.75), "hs_code_confidence": c("hs_conf"), "hs_code_changed_by_operator": flag(c("hs_changed")), "hs_chapter": c("chapter"),
+        "cif_value_usd": c("cif_value"), "cif_per_unit_usd": F.coalesce(F.try_divide(c("cif_value"), c("package_count")), F.lit(0.0)), "num_line_items": c("num_line_items").cast("double"),
+        "cif_fob_ratio": F.coalesce(F.try_divide(c("cif_value"), c("fob_value")), F.lit(0.0)),
+        "shipper_country_code": c("shipper_country"), "importir_historical_rejection_rate": c("importer_rejection_rate"), "importir_total_submissions": c("importer_submissions").cast("double"),
+        "nib_present": flag(V.valid_nib(c("nib"))), "npwp_valid": flag(V.valid_npwp(c("npwp"))), "aju_format_correct": flag(F.length("aju") == 26) * flag(c("aju").rlike("^[0-9]+$")),
+        "all_required_fields_filled": flag(c("completeness") == 1.0),
+        "vessel_ais_eta_delta_days": c("eta_delta_days").cast("double"), "vessel_confirmed_in_ais": flag(c("in_ais")), "vessel_confirmed_in_lineup": flag(c("lineup_confirmed")),
+        "carrier_country_risk_score": c("owner_risk"), "vessel_age_years": c("vessel_age").cast("double"), "vessel_type_matches_cargo": flag(c("type_matches")),
+        "hour_of_submission": F.hour("submitted_at").cast("double"), "days_since_bl_date": F.datediff(F.to_date("submitted_at"), F.col("bl_date")).cast("double"), "crs_score": c("score").cast("double"),
+        "carrier_rejection_rate_30d": c("carrier_rejection_rate"), "chapter_rejection_rate": c("chapter_rejection_rate"), "port_congestion": F.coalesce("congestion", F.lit(0.0)),
     }
 
 

@@ -89,22 +89,6 @@ def _features(spark, base):
     return df.select("batch_id", *[c.alias(n) for n, c in a.items()], b["cif_value_usd"].alias("cif_value_usd"), b["package_count"].alias("package_count"), rnd(b["completeness_score"], 6).alias("completeness_score"))
 
 
-_WIDE = oracle(f"""SELECT batch_id, {_r('1.0::DOUBLE - agreement', 6)} AS agent_disagreement_rate, (warnings > 0)::INT::DOUBLE AS had_cross_doc_warnings, {_r('cif_value / package_count', 4)} AS cif_per_unit_usd, {_r('cif_value / gross_weight', 6)} AS cif_fob_ratio,
-    {_r('rate', 6)} AS importer_rejection_rate, subs::DOUBLE AS importer_submissions FROM scored JOIN (SELECT company_id, count(*) AS subs, count(*) FILTER (label) / count(*)::DOUBLE AS rate FROM b3 GROUP BY 1) USING (company_id)""", "b3", **AG)
-
-
-@query("risk_features_wide", _WIDE)
-def _wide(spark, base):
-    df = scored(spark, base)
-    per = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("importer_submissions"), (F.count_if("label") / F.count(F.lit(1))).alias("importer_rejection_rate"))
-    df = df.join(per, "company_id")
-    w = S.wide_features(df)
-    return df.select(
-        "batch_id", rnd(w["agent_disagreement_rate"], 6).alias("agent_disagreement_rate"), w["had_cross_doc_warnings"].alias("had_cross_doc_warnings"), rnd(w["cif_per_unit_usd"], 4).alias("cif_per_unit_usd"),
-        rnd(w["cif_fob_ratio"], 6).alias("cif_fob_ratio"), rnd(w["importer_rejection_rate"], 6).alias("importer_rejection_rate"), w["importer_submissions"].alias("importer_submissions"),
-    )
-
-
 _LONG = ["critical_validation_failures", "agent_disagreement_count", "hs_code_confidence", "vessel_validation_critical", "missing_required_fields_count", "document_quality", "agent_agreement_rate"]
 
 
