@@ -27,6 +27,20 @@ PLACEHOLDER_CODE = "00000000"
 DOCUMENT_CODE = "20"
 
 
+def primary_fields(fields: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
+    """Fields of the first document of each batch, with the operator's corrections in their place.
+
+    ``corrections(batch_id, field, corrected_value, seq)`` name fields of the declaration: the last one of a field counts, one without a value changes nothing,
+    and a field that was never read enters. The corrected field stands before its aliases."""
+    first = fields.groupBy("batch_id").agg(F.min("doc_id").alias("doc_id"))
+    kept = fields.join(first, ["batch_id", "doc_id"]).select("batch_id", "doc_id", "field", "value")
+    if corrections is None:
+        return kept
+    last = corrections.where("corrected_value IS NOT NULL").groupBy("batch_id", "field").agg(F.max_by("corrected_value", "seq").alias("corrected"))
+    entered = last.join(first, "batch_id").select("batch_id", "doc_id", "field", F.col("corrected").alias("value"))
+    return kept.join(last.select("batch_id", "field"), ["batch_id", "field"], "left_anti").select("batch_id", "doc_id", "field", "value").unionByName(entered)
+
+
 def declaration_headers(fields: DataFrame) -> DataFrame:
     """One row per batch with header and importer, from the canonical values of its first document."""
     wanted = list(HEADER_NAMES) + list(ENTITY_NAMES)
@@ -62,8 +76,11 @@ def declaration_items(docs: DataFrame, recommendations: DataFrame | None = None)
     )
 
 
-def build_declarations(headers: DataFrame, items: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Nested declarations. A declaration with more lines than a page goes out in numbered parts, so no array is unbounded."""
+def build_declarations(headers: DataFrame, items: DataFrame, page_size: int = 1000, numbers: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """Nested declarations. A declaration with more lines than a page goes out in numbered parts, so no array is unbounded.
+
+    ``numbers(batch_id, aju)`` gives declaration numbers (empty before one is assigned), ``meta(batch_id, crs_score, agent_agreement_rate, generated_at)`` the figures that
+    travel with a declaration. The time is a column of the caller's: no clock is read here, so that a repeated run builds the same rows."""
     line = F.struct("seri", "posTarif", "uraianBarang", "jumlahSatuan", "satuanBarang")
     parts = items.groupBy("batch_id", F.floor((F.col("seri") - 1) / page_size).alias("part")).agg(F.array_sort(F.collect_list(line)).alias("barang"))
     default = F.array(
@@ -73,9 +90,15 @@ def build_declarations(headers: DataFrame, items: DataFrame, page_size: int = 10
         )
     )
     entity = F.array(F.struct(F.lit("IMPORTIR").alias("tipeEntitas"), *ENTITY_NAMES.values()))
-    return headers.join(parts, "batch_id", "left").select(
-        "batch_id", F.coalesce("part", F.lit(0)).alias("part"), "kodeDokumen", *HEADER_NAMES.values(), entity.alias("entitas"), F.coalesce("barang", default).alias("barang")
-    )
+    spark = headers.sparkSession
+    numbers = spark.createDataFrame([], headers.select("batch_id").schema.add("aju", "string")) if numbers is None else numbers
+    meta = spark.createDataFrame([], headers.select("batch_id").schema.add("crs_score", "double").add("agent_agreement_rate", "double").add("generated_at", "string")) if meta is None else meta
+    about = F.struct(F.col("generated_at"), F.col("batch_id").cast("string").alias("batch_id"), F.col("crs_score"), F.col("agent_agreement_rate"))
+    whole = headers.join(parts, "batch_id", "left").join(numbers.select("batch_id", "aju"), "batch_id", "left").join(meta.select("batch_id", "crs_score", "agent_agreement_rate", "generated_at"), "batch_id", "left")
+    return whole.select(
+        "batch_id", F.coalesce("part", F.lit(0)).alias("part"), "kodeDokumen", F.coalesce("aju", F.lit("")).alias("ajuNumber"), *HEADER_NAMES.values(), entity.alias("entitas"),
+        F.coalesce("barang", default).alias("barang"), about.alias("_meta"),
+    )
 
 
 def declaration_json(declarations: DataFrame) -> DataFrame:

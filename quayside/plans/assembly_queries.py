@@ -9,13 +9,17 @@ from quayside.functions.common import rnd
 from quayside.functions.hashing import digest
 from quayside.operators import assembly as A
 from quayside.operators import evaluation as E
+from quayside.operators import history as H
 from quayside.operators import search as S
 from quayside.operators.ordered import numbered
 from quayside.plans import bindings as B
 from quayside.plans.bindings import oracle
 from quayside.plans.catalog import query
 from quayside.plans.rules_queries import TYPED, typed_documents, typed_fields
+from quayside.plans.scoring_queries import AG, scored
+from quayside.session import fresh_path
 from quayside.sources import dims
+from quayside.sources import writers as W
 from quayside.sources.tables import read_table, spread
 
 
@@ -202,16 +206,60 @@ def _declaration(spark, base):
     )
 
 
-@query("declaration_sink", oracle("""SELECT batch_id, true AS readable, currency, nib FROM first""", "docs", typed=TYPED, first=_FIRST))
+_PRIMARY = "SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) = 1"
+_FIXES = """SELECT batch_id, CASE WHEN batch_id % 4 = 0 THEN 'EUR' END AS currency_fix, CASE WHEN batch_id % 6 = 0 THEN 'VOY' || batch_id::VARCHAR END AS voyage_fix FROM first"""
+
+
+def header_fixes(spark, base) -> DataFrame:
+    """Corrections by rule: a currency, overruled by a later one, a voyage number nobody had read, and one without a value."""
+    key = F.col("o_orderkey")
+    o = read_table(spark, base, "orders", ["o_orderkey"])
+    fix = lambda field, value, seq: F.struct(F.lit(field).alias("field"), value.alias("corrected_value"), F.lit(seq).alias("seq"))
+    fixes = F.array(
+        F.when(F.pmod(key, F.lit(4)) == 0, fix("currency", F.lit("GBP"), 1)), F.when(F.pmod(key, F.lit(4)) == 0, fix("currency", F.lit("EUR"), 2)),
+        F.when(F.pmod(key, F.lit(6)) == 0, fix("voyage_number", F.concat(F.lit("VOY"), key.cast("string")), 3)), F.when(F.pmod(key, F.lit(5)) == 0, fix("nib", F.lit(None).cast("string"), 4)),
+    )
+    return o.select(key.alias("batch_id"), F.inline(F.array_compact(fixes)))
+
+
+def whole_declarations(spark, base) -> DataFrame:
+    """Declarations with corrections, number and the figures that travel along."""
+    d = typed_documents(spark, base)
+    lines = d.select("batch_id", "doc_id", F.col("l_linenumber").alias("line"), "hs_code", F.lit("GOODS").alias("description"), F.col("packages").cast("string").alias("quantity"), F.lit("PCE").alias("unit"))
+    head = A.declaration_headers(A.primary_fields(typed_fields(spark, base), header_fixes(spark, base)))
+    score = scored(spark, base).select("batch_id", F.col("score").cast("double").alias("crs_score"), rnd(F.col("agreement"), 6).alias("agent_agreement_rate"), F.lit(None).cast("string").alias("generated_at"))
+    return A.build_declarations(head, A.declaration_items(lines), numbers=H.aju_sequence(B.batches(spark, base)).select("batch_id", "aju"), meta=score)
+
+
+_WHOLE = {"typed": TYPED, "first": _PRIMARY, "fixes": _FIXES, **AG,
+    "aju": "SELECT batch_id, strftime(created_at, '%Y%m%d%H%M%S') || lpad(company_id::VARCHAR, 6, '0') || lpad(row_number() OVER (PARTITION BY company_id ORDER BY created_at, batch_id)::VARCHAR, 6, '0') AS aju FROM b1",
+    "whole": f"""SELECT batch_id, aju, coalesce(voyage_fix, '') AS voyage, coalesce(currency_fix, currency) AS currency, nib, packages, cif_c / 100.0::DOUBLE AS cif, score::DOUBLE AS crs_score, {_r('agreement', 6)} AS agent_agreement_rate, n
+      FROM first JOIN fixes USING (batch_id) JOIN aju USING (batch_id) JOIN scored USING (batch_id) JOIN (SELECT batch_id, count(*) AS n FROM typed GROUP BY 1) USING (batch_id)"""}
+
+
+@query("full_declaration", oracle("SELECT batch_id, aju, voyage, currency, nib, packages, cif, crs_score, agent_agreement_rate, n::INT AS items FROM (SELECT * EXCLUDE (packages), packages::BIGINT AS packages FROM whole)", "docs", "b1", "b3", **_WHOLE))
+def _full(spark, base):
+    built = whole_declarations(spark, base)
+    return built.select(
+        "batch_id", F.col("ajuNumber").alias("aju"), F.col("voyageNumber").alias("voyage"), F.col("valuta").alias("currency"), F.col("entitas")[0]["nib"].alias("nib"), F.col("jumlahKemasan").cast("bigint").alias("packages"),
+        F.col("nilaiCif").alias("cif"), F.col("_meta.crs_score").alias("crs_score"), F.col("_meta.agent_agreement_rate").alias("agent_agreement_rate"), F.size("barang").alias("items"),
+    )
+
+
+@query("declaration_sink", oracle("SELECT batch_id, true AS readable, aju, currency, nib, crs_score FROM whole", "docs", "b1", "b3", **_WHOLE))
 def _sink(spark, base):
-    h = headers(spark, base)
-    no_items = typed_documents(spark, base).select("batch_id", "doc_id", F.lit(1).alias("line"), F.lit(None).cast("string").alias("hs_code"), F.lit(None).cast("string").alias("description"), F.lit("1").alias("quantity"), F.lit("PKG").alias("unit"))
-    payloads = A.declaration_json(A.build_declarations(h, A.declaration_items(no_items)))
-    key = F.lit("0123456789abcdef0123456789abcdef")  # trial key; a job reads it from its secret store
-    back = payloads.select("batch_id", A.decrypt_payload(A.encrypt_payload(F.col("payload"), key), key).alias("opened"), "payload")
-    return back.select(
-        "batch_id", (F.col("opened") == F.col("payload")).alias("readable"), F.get_json_object("opened", "$.valuta").alias("currency"), F.get_json_object("opened", "$.entitas[0].nib").alias("nib"),
-    )
+    """Encrypted declarations as JSON lines behind a commit marker, read back and opened."""
+    key = W.payload_key(spark, trial="0123456789abcdef0123456789abcdef")
+    payloads = A.declaration_json(whole_declarations(spark, base))
+    root = fresh_path(spark, "declarations")
+    W.commit(payloads.select("batch_id", "part", A.encrypt_payload(F.col("payload"), key).alias("cipher"), F.sha2("payload", 256).alias("sha")), root)
+    back = W.committed(spark, root, "batch_id bigint, part bigint, cipher string, sha string")
+    opened = back.select("batch_id", "sha", A.decrypt_payload(F.col("cipher"), key).alias("opened"))
+    part = lambda path, kind="string": F.get_json_object("opened", path).cast(kind)
+    return opened.select(
+        "batch_id", (F.sha2("opened", 256) == F.col("sha")).alias("readable"), part("$.ajuNumber").alias("aju"), part("$.valuta").alias("currency"),
+        part("$.entitas[0].nib").alias("nib"), part("$._meta.crs_score", "double").alias("crs_score"),
+    )
 
 
 _HASH = """SELECT batch_id, sha256('{"cif":' || floor(cif_value)::BIGINT::VARCHAR || ',"company":' || company_id::VARCHAR || ',"importer":"' || importer || '","tier":"' || tier || '"}') AS content_hash FROM b1"""
@@ -230,7 +278,16 @@ def _hash(spark, base):
     return batch_hashes(spark, base)
 
 
-@query("declaration_hash")
+def _money(cents: str) -> str:
+    return f"({cents} / 100.0::DOUBLE)::VARCHAR"
+
+
+_JSON = f"""'{{"alamatEntitas":null,"beratBersih":null,"beratKotor":' || {_money('fob_c')} || ',"jumlahKemasan":' || packages::VARCHAR || ',"kodeDokumen":"20","kodePelabuhanBongkar":"' || port || '","kodePelabuhanMuat":"","namaEntitas":null,"namaKapal":"","nib":"' || nib
+    || '","nilaiAsuransi":' || {_money('insurance_c')} || ',"nilaiCif":' || {_money('cif_c')} || ',"nilaiFob":' || {_money('fob_c')} || ',"nilaiFreight":' || {_money('freight_c')} || ',"nomorBl":"","nomorContainer":"","npwp":"' || npwp
+    || '","tglArrival":"' || strftime(arrival, '%Y-%m-%d') || '","tglBl":"' || strftime(bl_date, '%Y-%m-%d') || '","valuta":"' || currency || '","voyageNumber":""}}'"""
+
+
+@query("declaration_hash", oracle(f"SELECT batch_id, sha256({_JSON}) AS content_hash FROM first", "docs", typed=TYPED, first=_PRIMARY))
 def _declaration_hash(spark, base):
     return A.declaration_hashes(headers(spark, base))
 

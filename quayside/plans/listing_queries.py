@@ -12,6 +12,8 @@ from quayside.plans import bindings as B
 from quayside.plans.bindings import oracle
 from quayside.plans.catalog import query
 from quayside.plans.voting_queries import reconciled, rec_sql
+from quayside.session import fresh_path
+from quayside.sources import writers as W
 from quayside.sources.tables import read_table
 
 AS_OF = "1998-09-01 12:00:00"
@@ -163,7 +165,11 @@ def _domain(spark, base):
 def _replace(spark, base):
     old = B.batches(spark, base).select("batch_id", "status", "cif_value")
     new = read_table(spark, base, "lineitem", ["l_orderkey", "l_extendedprice"], "l_returnflag = 'R'")
-    return L.replace_by_key(old, new.select(F.col("l_orderkey").alias("batch_id"), F.lit("line").alias("status"), F.col("l_extendedprice").alias("cif_value")), ["batch_id"])
+    new = new.select(F.col("l_orderkey").alias("batch_id"), F.lit("line").alias("status"), F.col("l_extendedprice").alias("cif_value"))
+    path = fresh_path(spark, "replaced")
+    for rows in (old, new):  # the table as it was, then the rows that take its place; read back from the files
+        W.replace_keys(rows, path, ["batch_id"])
+    return spark.read.parquet(path).drop(W.BUCKET)
 
 
 _INCOMING = """SELECT l_orderkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 100000000 END AS batch_id, 'new' AS status, max(l_extendedprice) AS cif_value FROM lineitem GROUP BY 1"""

@@ -1,4 +1,4 @@
-"""Sums known at a point in time, and the store of model versions."""
+"""Sums known at a point in time, the store of model versions, and writers that survive a crash."""
 
 import random
 
@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators.asof import known_before, rates_at_arrival
+from quayside.operators.assembly import decrypt_payload, encrypt_payload, primary_fields
 from quayside.operators.model_store import ModelStore
+from quayside.sources import writers as W
 
 DAY = 86_400
 
@@ -83,3 +85,54 @@ def test_too_few_rows_register_nothing(spark, rows, tmp_path):
     store = ModelStore(spark, str(tmp_path))
     told = store.train(rows.limit(10), ["a", "b"], minimum=50).first()
     assert (told.trained, told.reason, told.promoted) == (False, "not_enough_samples", False) and store.registry().count() == 0
+
+
+def test_rows_count_only_once_they_are_marked(spark, tmp_path):
+    schema, root = "id long, v string", str(tmp_path)
+    rows = spark.createDataFrame([(1, "a"), (2, None)], schema)
+    assert W.committed(spark, root, schema).count() == 0
+    W.put(rows, root)  # a run that dies before its marker
+    assert W.committed(spark, root, schema).count() == 0
+    assert W.commit(rows, root) == 1 and W.commit(rows.where("id = 2"), root) == 2
+    assert sorted((r.id, r.v or "", r.seq) for r in W.committed(spark, root, schema).collect()) == [(1, "a", 1), (2, "", 1), (2, "", 2)]
+
+
+def test_keys_replaced_in_their_buckets_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    old = spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    W.replace_keys(old, path, ["k"], buckets=16)
+    before = {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    new = spark.createDataFrame([(5, "new"), (5, "twin"), (5000, "new")], "k long, v string")
+    for _ in range(2):  # repeating a replacement changes nothing
+        W.replace_keys(new, path, ["k"], buckets=16)
+    got = sorted((r.k, r.v) for r in spark.read.parquet(path).select("k", "v").collect())
+    assert got == sorted([(i, "old") for i in range(1000) if i != 5] + [(5, "new"), (5, "twin"), (5000, "new")])
+    after = {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert len(set(before) & set(after)) >= 14 and all(after[f] == before[f] for f in set(before) & set(after))
+
+
+def test_no_plan_shows_the_key(spark):
+    key = "fedcba9876543210"
+    spark.conf.set(W.KEY_SETTING, key)
+    try:
+        df = spark.createDataFrame([("secret text",), ("",)], "p string").select("p", encrypt_payload(F.col("p"), W.payload_key(spark)).alias("c"))
+        back = df.select("p", decrypt_payload(F.col("c"), W.payload_key(spark)).alias("o"))
+        assert [(r.p, r.o) for r in back.collect()] == [("secret text", "secret text"), ("", "")]
+        assert key not in back._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(W.KEY_SETTING)
+    with pytest.raises(ValueError):
+        W.payload_key(spark)
+
+
+def test_corrections_take_the_place_of_the_first_document(spark):
+    fields = spark.createDataFrame(
+        [(1, "d1", "currency", "USD"), (1, "d1", "nib", None), (1, "d2", "nib", "2"), (1, "d2", "currency", "IDR"), (2, "d1", "currency", "USD")],
+        "batch_id long, doc_id string, field string, value string",
+    )
+    fixes = spark.createDataFrame(
+        [(1, "currency", "GBP", 1), (1, "currency", "EUR", 2), (1, "currency", None, 3), (1, "voyage_number", "V1", 1), (9, "nib", "7", 1)],
+        "batch_id long, field string, corrected_value string, seq int",
+    )
+    got = sorted(((r.batch_id, r.field, r.value) for r in primary_fields(fields, fixes).collect()), key=lambda r: r[:2])
+    assert got == [(1, "currency", "EUR"), (1, "nib", None), (1, "voyage_number", "V1"), (2, "currency", "USD")]
