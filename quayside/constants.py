@@ -255,3 +255,20 @@ CARRIERS = {
     "CMDU": {"name": "CMA CGM", "route": "STANDARD", "bl_pattern": r"^(CMDU|APLU)\d{9}$",
              "bl_prefixes": ["CMDU", "APLU"], "strip_prefixes": [], "strip_suffixes": [], "vessels": []},
 }
+
+# Port codes in common use
+KNOWN_LOCODES = [
+    "IDJKT", "IDJBK", "IDTPP", "IDSBY", "IDBTM", "IDPLM", "IDMKQ", "IDDJJ", "IDAMT",
+    "CNSHA", "CNSZX", "CNNGB", "CNGZH", "CNSHK", "CNQIN", "SGSIN", "MYPEN", "MYPKG", "MYKUA", "INNSA", "INMUN", "INPAV",
+    "AEJEA", "AEAUH", "DEHAM", "GBTIL", "NLRTM", "USNYC", "USLAX", "USSEA", "JPOSA", "JPTYO", "KRPUS", "KRSEL", "VNSGN", "VNHPH", "THBKK", "THLTB",
+]
+
+# Texts of the vessel issues; names in braces are columns
+VESSEL_MESSAGES = {
+    "no_name": "No vessel name to check.",
+    "not_seen": "Vessel '{vessel_name}' not found in AIS database. Manual verification recommended.",
+    "eta": "ETA discrepancy: AIS reports vessel arrival {eta_day} but B/L date is {bl_date}. Difference exceeds 72 hours.",
+    "no_lineup": "Vessel '{vessel_name}' not found in port lineup for '{port}'. This is informational only.",
+    "watched": "Vessel '{vessel_name}' appears on a sanctions watchlist.",
+}
+HS_SEARCH_CONFIDENCE = 0.75  # codes below go to the tariff search

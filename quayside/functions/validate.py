@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def valid_unlocode(c: Column) -> Column:
     return _sure(F.upper(F.trim(c)).rlike("^[A-Z]{2}[A-Z0-9]{3}$"))
 
 
+def known_unlocode(c: Column, codes: Sequence[str] = tuple(K.KNOWN_LOCODES)) -> Column:
+    """A well-formed code that is also in the list of ports; a full port table is a ``left_semi`` join instead."""
+    return valid_unlocode(c) & _sure(F.upper(F.trim(c)).isin(list(codes)))
+
+
 def contains_locode(c: Column) -> Column:
     return _sure(c.rlike(r"\b[A-Z]{5}\b"))
 

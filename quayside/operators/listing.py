@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside import constants as K
 from quayside.functions.common import is_filled
+from quayside.operators.ordered import pages
 
 
 def list_batches(df: DataFrame, company: int | str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -62,11 +64,23 @@ def visible_to(df: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def visible_batches(df: DataFrame, profiles: DataFrame, user) -> DataFrame:
-    """Rows one user may see."""
+    """Rows one user may see: those of the user's companies, all for staff. Decided in the plan; nothing is read beforehand."""
     me = profiles.where(F.col("user_id") == user)
-    if me.where(F.col("role").isin("admin", "supervisor")).limit(1).count():
-        return df
-    return df.join(me.select("company_id"), "company_id", "left_semi")
+    staff = F.coalesce(me.agg(F.bool_or(F.col("role").isin("admin", "supervisor")).alias("staff")).scalar(), F.lit(False))
+    mine = me.select(F.col("company_id").alias("_mine")).distinct()
+    return df.join(mine, df["company_id"] == F.col("_mine"), "left").where(staff | F.col("_mine").isNotNull()).drop("_mine")
+
+
+def detail_pages(children: Mapping[str, tuple[DataFrame, Sequence[str]]], size: int = 1000) -> DataFrame:
+    """(batch_id, child, page, items): child rows of each batch as JSON in the given order, ``size`` per page, so that no array grows with a batch.
+
+    ``children`` maps a name to its rows and the columns that order them, unique within a batch."""
+    parts = []
+    for name, (rows, order) in children.items():
+        body = F.to_json(F.struct(*[c for c in rows.columns if c != "batch_id"]), {"ignoreNullFields": "false"})
+        paged = pages(rows.withColumn("body", body), ["batch_id"], [F.col(c) for c in order], F.col(order[0]), F.col("body"), size)
+        parts.append(paged.select("batch_id", F.lit(name).alias("child"), "page", "items"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def last_write(fields: DataFrame, keys: Sequence[str], cols: Sequence[str], order: Sequence[str]) -> DataFrame:

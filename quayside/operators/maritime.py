@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -143,6 +144,39 @@ def vessel_issues_by_name(checked: DataFrame) -> DataFrame:
     return checked.select("batch_id", F.inline(issues))
 
 
+def _message(name: str) -> Column:
+    """Text of an issue with its columns filled in; a missing value is empty."""
+    parts = re.split(r"\{(\w+)\}", K.VESSEL_MESSAGES[name])
+    return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def vessel_report(checked: DataFrame) -> DataFrame:
+    """One row per batch of the variant by name: status, whether to go on, the issues with their texts, and what was confirmed.
+
+    A batch without a vessel name is critical and nothing else is looked at."""
+    named = F.coalesce("vessel_name", F.lit("")) != ""
+    rows = checked.withColumn("eta_day", F.date_format("eta", "yyyy-MM-dd"))
+
+    def issue(test: Column, severity: str, code: str, text: str) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), _message(text).alias("message")))
+
+    seen = F.col("ais_name").isNotNull()
+    found = F.array_compact(
+        F.array(
+            issue(~named, "CRITICAL", "V001", "no_name"), issue(named & ~seen, "WARNING", "V001", "not_seen"),
+            issue(named & seen & (F.col("eta") < F.col("bl_date").cast("timestamp") - F.expr("INTERVAL 72 HOURS")), "WARNING", "V003", "eta"),
+            issue(named & F.col("lineup_eta").isNull(), "INFO", "V003", "no_lineup"), issue(named & on_watch_list(F.col("vessel_name")), "CRITICAL", "V004", "watched"),
+        )
+    )
+    worst = lambda severity: F.exists("issues", lambda i: i["severity"] == severity)
+    status = F.when(worst("CRITICAL"), "critical").when(worst("WARNING"), "warning").when(F.size("issues") > 0, "info").otherwise("passed")
+    rows = rows.withColumn("issues", found).withColumn("status", status)
+    return rows.select(
+        "batch_id", "status", (F.col("status") != "critical").alias("passed"), "issues", (named & seen).alias("vessel_confirmed"),
+        F.when(named & seen, F.col("eta")).alias("ais_eta"), (named & F.col("lineup_eta").isNotNull()).alias("lineup_confirmed"),
+    )
+
+
 def vessel_status(batches: DataFrame, issues: DataFrame) -> DataFrame:
     """Worst severity per batch: critical, warning, info, or passed without issues."""
     rank = F.when(F.col("severity") == "CRITICAL", 3).when(F.col("severity") == "WARNING", 2).otherwise(1)

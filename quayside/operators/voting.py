@@ -85,6 +85,13 @@ def majority_vote(obs: DataFrame) -> DataFrame:
     ).withColumn("level", confidence_level(F.col("confidence")))
 
 
+def disputed_values(obs: DataFrame, voted: DataFrame) -> DataFrame:
+    """What every engine read of the disputed fields: one row per field with the readings in order of the engines (one of each), for the operator to choose from."""
+    disputed = voted.where("disagreement").select(*DOC_FIELD, F.col("value").alias("chosen"), "flag_reason")
+    one = F.struct("engine_rank", "engine", "value", normalize_field(F.col("field"), F.col("value")).alias("norm"), "confidence")
+    return obs.join(disputed, list(DOC_FIELD)).groupBy(*DOC_FIELD, "chosen", "flag_reason").agg(F.array_sort(F.collect_list(one)).alias("readings"))
+
+
 def tier_vote(obs: DataFrame) -> DataFrame:
     """Fixed confidence by vote count; without any agreement the last engine's value stands."""
     checked = V.is_rule_checked(F.col("field"))
@@ -344,3 +351,13 @@ def hs_needed(fields: DataFrame, batches: DataFrame, limit: float = 0.5) -> Data
         "batch_id", "tier",
         ((F.col("tier") != "enterprise") & F.coalesce("weak", F.lit(True))).alias("hs_needed"),
     )
+
+
+def hs_search_documents(fields: DataFrame, limit: float = K.HS_SEARCH_CONFIDENCE) -> DataFrame:
+    """Documents whose tariff code is to be searched for: not read, of the wrong form, or read with little confidence. With the reason."""
+    code = fields.where("field = 'hs_code'")
+    reason = (
+        F.when(F.coalesce("value", F.lit("")) == "", "empty").when(~V.valid_hs(F.col("value")), "format")
+        .when(F.coalesce("confidence", F.lit(0.0)) < limit, "confidence")
+    )
+    return code.select("batch_id", "doc_id", "value", "confidence", reason.alias("reason")).where(F.col("reason").isNotNull())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside import constants as K
 from quayside.functions import extract as X
+from quayside.functions import validate as V
 from quayside.operators import listing as L
 from quayside.operators.ordered import pages
 from quayside.plans import bindings as B
@@ -72,10 +74,34 @@ _PROFILES = """SELECT c_custkey AS user_id, c_custkey AS company_id, CASE WHEN c
 @query("tenant_filter", oracle("""SELECT 'user ' || user_id::VARCHAR AS viewer, batch_id, status FROM b1 JOIN prof ON b1.company_id = prof.company_id WHERE role NOT IN ('admin', 'supervisor')
     UNION ALL SELECT 'staff', batch_id, status FROM b1""", "b1", prof=_PROFILES))
 def _tenant(spark, base):
+    return L.visible_to(B.batches(spark, base), profiles(spark, base)).select("viewer", "batch_id", "status")
+
+
+def profiles(spark, base) -> DataFrame:
     c = read_table(spark, base, "customer", ["c_custkey", "c_acctbal"])
     role = F.when(F.col("c_acctbal") > 9990, "supervisor").when(F.col("c_acctbal") > 0, "importer").otherwise("operator")
-    profiles = c.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("company_id"), role.alias("role"))
-    return L.visible_to(B.batches(spark, base), profiles).select("viewer", "batch_id", "status")
+    return c.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("company_id"), role.alias("role"))
+
+
+@query("visible_batches", oracle("""SELECT batch_id, status FROM b1 WHERE company_id IN (SELECT company_id FROM prof WHERE user_id = 7) OR EXISTS (SELECT 1 FROM prof WHERE user_id = 7 AND role IN ('admin', 'supervisor'))""", "b1", prof=_PROFILES))
+def _visible(spark, base):
+    return L.visible_batches(B.batches(spark, base), profiles(spark, base), 7).select("batch_id", "status")
+
+
+@query("batch_detail_pages", rec_sql("""SELECT batch_id, child, (n - 1) // 1000 AS page, count(*) AS rows, sha256(string_agg(item, chr(10) ORDER BY n)) AS sha FROM (
+    SELECT batch_id, 'documents' AS child, '{"doc_id":"' || doc_id || '","doc_type":"' || doc_type || '"}' AS item, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) AS n FROM docs
+    UNION ALL SELECT batch_id, 'fields', '{"doc_id":"' || doc_id || '","field":"' || field || '","value":' || CASE WHEN value IS NULL THEN 'null' ELSE '"' || value || '"' END || ',"level":"' || level || '"}', row_number() OVER (PARTITION BY batch_id ORDER BY doc_id, field) FROM rec
+    UNION ALL SELECT batch_id, 'validations', '{"doc_id":"' || doc_id || '","field":"hs_code","passed":' || CASE WHEN regexp_full_match(value, '[0-9]{8}') THEN 'true' ELSE 'false' END || '}', row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) FROM rec WHERE field = 'hs_code' AND value IS NOT NULL
+    ) GROUP BY ALL""", "docs"))
+def _detail_pages(spark, base):
+    rec = reconciled(spark, base)
+    checks = rec.where("field = 'hs_code' AND value IS NOT NULL").select("batch_id", "doc_id", "field", V.valid_hs(F.col("value")).alias("passed"))
+    children = {
+        "documents": (B.documents_of_batches(spark, base).select("batch_id", "doc_id", "doc_type"), ["doc_id"]),
+        "fields": (rec.select("batch_id", "doc_id", "field", "value", "level"), ["doc_id", "field"]), "validations": (checks, ["doc_id"]),
+    }
+    found = L.detail_pages(children)
+    return found.select("batch_id", "child", "page", F.size("items").cast("long").alias("rows"), F.sha2(F.array_join("items", "\n"), 256).alias("sha"))
 
 
 @query("completeness", rec_sql("""SELECT batch_id, count(DISTINCT CASE WHEN field IN ('total_packages', 'gross_weight') AND value IS NOT NULL AND value NOT IN ('', '0', '0.0') THEN field END) / 6.0::DOUBLE AS completeness FROM rec GROUP BY 1"""))

@@ -139,6 +139,24 @@ def _issues_name(spark, base):
     return M.vessel_issues_by_name(M.lineup_upcoming(placed, ship_lineups(spark, base), F.to_timestamp(F.lit(AS_OF))))
 
 
+_BY_NAME = {
+    "voy": VOYAGES, "newest": NEWEST, "best": _LATEST, "sl": LINEUPS, "up": f"SELECT imo, port, min(eta) AS lineup_eta FROM sl WHERE eta > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1, 2",
+    "x": "SELECT voy.*, best.ais_name, best.eta, up.lineup_eta FROM voy LEFT JOIN best ON lower(vessel_name) = want LEFT JOIN up USING (imo, port)",
+}
+
+
+@query("vessel_report", oracle("""SELECT batch_id, CASE WHEN ais_name IS NULL OR late THEN 'warning' WHEN lineup_eta IS NULL THEN 'info' ELSE 'passed' END AS status, true AS passed, ais_name IS NOT NULL AS vessel_confirmed, lineup_eta IS NOT NULL AS lineup_confirmed,
+    epoch_us(eta)::DOUBLE AS eta_us, concat_ws('|', CASE WHEN ais_name IS NULL THEN 'V001 Vessel ' || vessel || ' not found in AIS database. Manual verification recommended.' END,
+    CASE WHEN late THEN 'V003 ETA discrepancy: AIS reports vessel arrival ' || strftime(eta, '%Y-%m-%d') || ' but B/L date is ' || strftime(bl_date, '%Y-%m-%d') || '. Difference exceeds 72 hours.' END,
+    CASE WHEN lineup_eta IS NULL THEN 'V003 Vessel ' || vessel || ' not found in port lineup for ' || chr(39) || port || chr(39) || '. This is informational only.' END) AS issues
+    FROM (SELECT *, chr(39) || vessel_name || chr(39) AS vessel, coalesce(eta < bl_date::TIMESTAMP - INTERVAL 72 HOUR, false) AS late FROM x)""", "positions", "lineups", **_BY_NAME))
+def _report(spark, base):
+    placed = M.latest_position(voyages(spark, base), B.positions(spark, base))
+    out = M.vessel_report(M.lineup_upcoming(placed, ship_lineups(spark, base), F.to_timestamp(F.lit(AS_OF))))
+    texts = F.array_join(F.transform("issues", lambda i: F.concat(i["code"], F.lit(" "), i["message"])), "|")
+    return out.select("batch_id", "status", "passed", "vessel_confirmed", "lineup_confirmed", F.unix_micros("ais_eta").cast("double").alias("eta_us"), texts.alias("issues"))
+
+
 @query("port_congestion", oracle("SELECT port, strftime(d, '%Y-%m-%d') AS day, ships, round((ships / max(ships) OVER ()::DOUBLE)::DECIMAL(18,8), 6)::DOUBLE AS congestion FROM (SELECT port, eta::DATE AS d, count(*) AS ships FROM lineups GROUP BY 1, 2)", "lineups"))
 def _congestion(spark, base):
     return M.port_congestion(B.lineups(spark, base))

@@ -191,6 +191,13 @@ def _valid_nib(spark, base):
     return raw_codes(spark, base).select("doc_id", V.valid_nib(N.normalize_nib(F.col("nib_raw"))).alias("ok"), V.valid_nib(F.col("nib_raw")).alias("raw_ok"))
 
 
+@query("known_unlocode", oracle("SELECT doc_id, (l_partkey % 8) IN (0, 1, 4) AS known, (l_partkey % 8) IN (0, 1, 2, 4) AS well_formed, (l_partkey % 8) IN (1, 2, 6) AS inside FROM docs", "docs"))
+def _known_locode(spark, base):
+    """Codes as printed: padded, in lower case, unknown, broken, too long, inside a text, missing."""
+    c = pick(F.pmod("pk", F.lit(8)), *map(F.lit, (" idjkt", "DEHAM ", "XXABC", "ID JKT", "usnyc", "IDJKT1", "MV at SGSIN", None))).cast("string")
+    return lines(spark, base).select("doc_id", V.known_unlocode(c).alias("known"), V.valid_unlocode(c).alias("well_formed"), V.contains_locode(c).alias("inside"))
+
+
 @query("valid_unlocode", oracle("SELECT doc_id, l_partkey % 4 <> 0 AS ok FROM docs", "docs"))
 def _valid_port(spark, base):
     return raw_codes(spark, base).select("doc_id", V.valid_unlocode(F.col("port_raw")).alias("ok"))

@@ -243,3 +243,18 @@ def _fallback(spark, base):
     (SELECT batch_id, bool_or(value IS NULL OR confidence < 0.5) AS weak FROM rec WHERE field = 'hs_code' GROUP BY 1) w ON b1.batch_id = w.batch_id""", "b1"))
 def _hs_needed(spark, base):
     return vote.hs_needed(reconciled(spark, base), B.batches(spark, base))
+
+
+@query("disputed_values", rec_sql("""SELECT r.batch_id, r.doc_id, r.field, any_value(r.value) AS chosen, string_agg(n.engine || '=' || coalesce(n.norm, '-'), ';' ORDER BY n.engine_rank) AS readings
+    FROM rec r JOIN normed n ON r.batch_id = n.batch_id AND r.doc_id = n.doc_id AND r.field = n.field WHERE r.disagreement GROUP BY 1, 2, 3"""))
+def _disputed(spark, base):
+    obs = B.observations(spark, base)
+    found = vote.disputed_values(obs, vote.majority_vote(obs))
+    texts = F.transform("readings", lambda r: F.concat(r["engine"], F.lit("="), F.coalesce(r["norm"], F.lit("-"))))
+    return found.select("batch_id", "doc_id", "field", "chosen", F.array_join(texts, ";").alias("readings"))
+
+
+@query("hs_search_documents", rec_sql("""SELECT batch_id, doc_id, CASE WHEN coalesce(value, '') = '' THEN 'empty' WHEN NOT regexp_full_match(value, '[0-9]{8}') THEN 'format' ELSE 'confidence' END AS reason FROM rec
+    WHERE field = 'hs_code' AND (coalesce(value, '') = '' OR NOT regexp_full_match(value, '[0-9]{8}') OR confidence < 0.75)"""))
+def _hs_search(spark, base):
+    return vote.hs_search_documents(reconciled(spark, base)).select("batch_id", "doc_id", "reason")
