@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def rnd(c: Column, places: int, precision: int = 18) -> Column:
-    """Round half up on the decimal image of a double, so float noise never decides a tie.
+def rnd(c: Column, places: int) -> Column:
+    """Round half up on the image of a double with eight digits, so float noise never decides a tie. Any magnitude; what is not finite stays.
 
-    A figure beyond the precision is rounded on a wider image; one that no decimal holds (1E40, infinity) is left as it is.
+    The argument occurs once: copies of a long expression swell the generated code beyond what is compiled.
     """
-    narrow, wide = (F.round(c.try_cast(f"decimal({p},8)"), places).cast("double") for p in (precision, 38))
-    return F.coalesce(narrow, wide, c.cast("double"))
+    return F.round(F.round(c.cast("double"), 8), places)
 
 
 def dec(c: Column, scale: int = 4, precision: int = 18) -> Column:
@@ -37,8 +36,11 @@ def plain_number(c: Column, places: int) -> Column:
 
 
 def as_double(c: Column) -> Column:
-    """Number; null for other text, also for the type marks (5d, 12f) and hexadecimal forms that a plain cast reads."""
-    return F.when(~c.rlike(r"[0-9.][dDfF]\s*$|[xX]"), c.try_cast("double"))
+    """Number; null for other text, also for the type marks (5d, 12f) and hexadecimal forms that a plain cast reads.
+
+    Only text that does not end in a digit, or holds an x, is looked at closely."""
+    plain = F.ascii(F.right(c, F.lit(1))).between(48, 57) & ~F.contains(c, F.lit("x")) & ~F.contains(c, F.lit("X"))
+    return F.when(plain | ~c.rlike(r"[0-9.][dDfF]\s*$|[xX]"), c.try_cast("double"))
 
 
 def as_number(c: Column) -> Column:

@@ -182,7 +182,7 @@ def folded(c: Column) -> Column:
 # --- safe numbers --------------------------------------------------------------------------------------
 
 def safe_float(c: Column) -> Column:
-    return rnd(as_double(F.regexp_replace(c, ",", "")), 2, 30)
+    return rnd(as_double(F.regexp_replace(c, ",", "")), 2)
 
 
 def safe_int(c: Column) -> Column:

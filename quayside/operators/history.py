@@ -139,19 +139,19 @@ def aju_sequence(batches: DataFrame) -> DataFrame:
 def rolling_rejection(batches: DataFrame, keys: Sequence[str], days: int = 30) -> DataFrame:
     """Trailing rejection rate before each row's time stamp.
 
-    Every time stamp adds its rows once and takes them out again ``days`` later, so the trailing
-    figure is a running sum of these changes, which stays parallel inside a busy company.
+    Every row asks at its time stamp, enters right after, and leaves ``days`` later: three marks on one time line, read in one scan.
+    The trailing figure is a running sum of the marks, which stays parallel inside a busy company.
     """
-    at = F.unix_seconds("created_at")
-    per = batches.groupBy(*keys, at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("r"))
-    out = per.select(*keys, (F.col("at") + days * 86400).alias("at"), (-F.col("n")).alias("n"), (-F.col("r")).alias("r"))
-    changes = per.unionByName(out).groupBy(*keys, "at").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
-    trailing = running(
-        changes, keys, [F.col("at")], F.floor(F.col("at") / 86400), {"prior": ("sum", F.col("n")), "prior_rejected": ("sum", F.col("r"))}, include_current=False
-    ).drop("n", "r")
-    return batches.withColumn("at", at).join(trailing, [*keys, "at"]).drop("at").withColumn(
-        "rolling_rate", rnd(F.coalesce(F.try_divide("prior_rejected", "prior"), F.lit(0.0)), 6)
-    )
+    at, bad = F.unix_seconds("created_at"), F.coalesce("rejected", F.lit(False)).cast("bigint")
+
+    def mark(t: Column, kind: int, n: Column | int, r: Column | int) -> Column:
+        return F.struct(t.alias("at"), F.lit(kind).alias("kind"), F.lit(n).cast("bigint").alias("n"), (r if isinstance(r, Column) else F.lit(r).cast("bigint")).alias("r"))
+
+    marks = F.array(mark(at, 0, 0, 0), mark(at, 1, 1, bad), mark(at + days * 86400, 1, -1, -bad))
+    line = batches.where(F.col("created_at").isNotNull()).withColumn("mark", F.explode(marks)).select(*batches.columns, "mark.*")
+    order = [F.col("at"), F.col("kind")]
+    trailing = running(line, keys, order, F.floor(F.col("at") / 86400), {"prior": ("sum", F.col("n")), "prior_rejected": ("sum", F.col("r"))}, include_current=False)
+    return trailing.where("kind = 0").drop("at", "kind", "n", "r").withColumn("rolling_rate", rnd(F.coalesce(F.try_divide("prior_rejected", "prior"), F.lit(0.0)), 6))
 
 
 def days_since_rejection(batches: DataFrame) -> DataFrame:

@@ -194,22 +194,25 @@ def _known_fields(check: str, scopes: DataFrame) -> str:
 def rule_scopes(fields: DataFrame, items: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """One row per batch with a struct per document type, the combined fields, the item and the importer.
 
-    Reduced in two steps: first the last value per (batch, type, field) on the map side, then a
-    pivot with the fixed field list and the ``extra`` text fields that rules name.
+    Reduced in two steps: first the last value per (batch, type, field) on the map side, then one list per batch, whose length is bounded by the types and
+    the fixed field list with the ``extra`` text fields that rules name. Structs look their values up in it; those that no rule reads are
+    never looked up, as the optimiser drops them.
     """
     texts = list(dict.fromkeys([*TEXTS, *(e for e in extra if e not in NUMBERS)]))
     kept = fields.where(F.col("field").isin(NUMBERS + texts) & F.col("value").isNotNull())
-    last = kept.groupBy("batch_id", "doc_type", "field").agg(F.max(F.struct("doc_id", "value")).alias("last"))
+    kind_of = F.when(F.col("doc_type").isin(list(SCOPES.values())), F.col("doc_type")).otherwise("other").alias("doc_type")
+    last = kept.groupBy("batch_id", kind_of, "field").agg(F.max(F.struct("doc_id", "value")).alias("last"))
+    per = last.groupBy("batch_id").agg(F.collect_list(F.struct("doc_type", "field", F.col("last.doc_id").alias("doc_id"), F.col("last.value").alias("value"))).alias("read"))
+    by_type = F.map_from_entries(F.transform("read", lambda r: F.struct(F.concat_ws(":", r["doc_type"], r["field"]), F.struct(r["doc_id"], r["value"].alias("value")))))
+    held = per.select("batch_id", by_type.alias("by_type"))
 
     def cell(name: str, kind: str | None) -> Column:
-        test = F.col("field") == name
-        if kind is not None:
-            test = test & (F.col("doc_type") == kind)
-        value = F.max(F.when(test, F.col("last")))["value"]
+        found = [F.try_element_at("by_type", F.lit(f"{k}:{name}")) for k in ([kind] if kind else [*SCOPES.values(), "other"])]
+        value = (F.greatest(*found) if len(found) > 1 else found[0])["value"]  # of several types the last document decides
         return (as_number(value) if name in NUMBERS else value).alias(name)
 
     scope = {s: F.struct(*[cell(n, kind) for n in NUMBERS + texts]).alias(s) for s, kind in SCOPES.items()}
-    wide = last.groupBy("batch_id").agg(*scope.values(), F.struct(*[cell(n, None) for n in NUMBERS + texts]).alias("data"))
+    wide = held.select("batch_id", *scope.values(), F.struct(*[cell(n, None) for n in NUMBERS + texts]).alias("data"))
     wide = wide.withColumn("item", F.col("data")).withColumn("importir", F.col("data"))
     if items is not None:
         per_type = items.groupBy("batch_id", "doc_type").agg(

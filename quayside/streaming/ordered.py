@@ -1,9 +1,10 @@
 """Custom state in event-time order: rows wait in their time slot until the watermark has passed it.
 
-A key's rows are kept as they come, in chunks per (slot, number); nothing is judged on arrival. A timer at the end of the earliest slot fires once no
-earlier row can come. Then the slots that are due are taken one after the other, sorted, and fed to a step function with the
-key's small state. Results therefore do not depend on file order, on the size of micro-batches or on how rows of a key are cut into
-batches; rows later than the watermark allows are dropped by Spark before they get here. A task holds one slot of one key at a time.
+A key's rows are kept as they come, in chunks named by their earliest slot; nothing is judged on arrival. A timer at the end of the earliest slot fires once
+no earlier row can come. Then the chunks that are due are taken one after the other; what lies before the next chunk is sorted and fed to
+a step function with the key's small state. Results therefore do not depend on file order, on the size of micro-batches or on how rows of
+a key are cut into batches; rows later than the watermark allows are dropped by Spark before they get here. Chunks of more than ``CHUNK`` rows
+are cut by slot, so that a task holds about one slot of one key at a time, however many rows a key has.
 
 After ``forget`` without rows a key is removed, so that state follows the keys that are alive.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
+CHUNK = 2000  # rows of several slots that may be kept together
 
 #: step(state, rows in order) -> (state, result rows); the state is a tuple or None at the start
 Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple | None, pd.DataFrame]]
@@ -38,40 +40,60 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, last = self.chunks.get() if self.chunks.exists() else (0, 0)
-        slots = set()
+        earliest = None
         for pdf in rows:
-            for slot, own in pdf.groupby(pdf["us"] // (self.slot_ms * 1000)):
-                tag = [None if pd.isna(t) else str(t) for t in own["tag"]]
-                self.held.updateValue((int(slot), n), (own["us"].tolist(), own["event_id"].tolist(), tag))
-                slots.add(int(slot))
-                n, last = n + 1, max(last, int(own["us"].max()))
-        if slots:
+            slot = pdf["us"] // (self.slot_ms * 1000)
+            for own in [pdf] if len(pdf) <= CHUNK else [part for _, part in pdf.groupby(slot)]:
+                first, n, last = self._keep(own, n), n + 1, max(last, int(own["us"].max()))
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
             self.chunks.update((n, last))
-            self.handle.registerTimer((min(slots) + 1) * self.slot_ms)
+            self.handle.registerTimer((earliest + 1) * self.slot_ms)
         return iter(())
 
+    def _keep(self, rows: pd.DataFrame, number: int) -> int:
+        """Store a chunk under its earliest slot."""
+        first = int(rows["us"].min()) // (self.slot_ms * 1000)
+        tag = [None if pd.isna(t) else str(t) for t in rows["tag"]]
+        self.held.updateValue((first, number), (rows["us"].tolist(), rows["event_id"].tolist(), tag))
+        return first
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
+        n, last = self.chunks.get() if self.chunks.exists() else (0, 0)
+        over = now // self.slot_ms  # slots before this one are due
         waiting = sorted(tuple(k) for k in self.held.keys())
-        due = [k for k in waiting if (k[0] + 1) * self.slot_ms <= now]
-        state = tuple(self.state.get()) if self.state.exists() else None
-        at = 0
-        while at < len(due):
-            own = [k for k in due[at:] if k[0] == due[at][0]]
-            parts = [self.held.getValue(k) for k in own]
-            rows = pd.DataFrame({c: [x for p in parts for x in p[i]] for i, c in enumerate(("us", "event_id", "tag"))})
-            state, out = self.step(state, rows.sort_values(["us", "event_id"], kind="stable", ignore_index=True))
-            if len(out):
-                yield out
-            for k in own:
-                self.held.removeKey(k)
-            at += len(own)
-        if due and state is not None:
+        due = [k for k in waiting if k[0] < over]
+        before = state = tuple(self.state.get()) if due and self.state.exists() else None
+        rows, at = None, 0
+        while at < len(due) or (rows is not None and len(rows)):
+            parts = [] if rows is None else [rows]
+            if at < len(due):
+                own = [k for k in due[at:] if k[0] == due[at][0]]
+                for k in own:
+                    parts.append(pd.DataFrame(dict(zip(("us", "event_id", "tag"), map(list, self.held.getValue(k))))))
+                    self.held.removeKey(k)
+                at += len(own)
+            rows = pd.concat(parts, ignore_index=True)
+            slot = rows["us"] // (self.slot_ms * 1000)
+            ready = slot < (min(over, due[at][0]) if at < len(due) else over)
+            if ready.any():
+                state, out = self.step(state, rows[ready].sort_values(["us", "event_id"], kind="stable", ignore_index=True))
+                if len(out):
+                    yield out
+                rows = rows[~ready]
+            if at == len(due):
+                break
+        if state != before:
             self.state.update(state)
-        if len(due) < len(waiting):
-            self.handle.registerTimer((waiting[len(due)][0] + 1) * self.slot_ms)
+        left = [k[0] for k in waiting[len(due) :]]
+        if rows is not None and len(rows):  # slots of a chunk that are not due yet
+            left.append(self._keep(rows, n))
+            self.chunks.update((n + 1, last))
+        if left:
+            self.handle.registerTimer((min(left) + 1) * self.slot_ms)
         elif self.chunks.exists():
-            gone = self.chunks.get()[1] // 1000 + self.forget_ms
+            gone = last // 1000 + self.forget_ms
             if gone <= now:
                 for kept in (self.held, self.chunks, self.state):
                     kept.clear()
