@@ -2,7 +2,7 @@
 
 Every source is a queue of its documents' tokens (ids, then one end id). A window is ``window_sequences``
 sequences. In each window every queue is served its share of the window's tokens; what a queue is owed or
-has had in excess of its exact share (always less than one token) is its deficit, which carries into the next
+has had in excess of its exact share (always less than two tokens) is its deficit, which carries into the next
 window. Because the deficits after any number of windows follow from the running totals of the shares in
 whole numbers, every partition knows the deficits at which it starts: they carry across partitions without
 partitions waiting for each other. Targets default to the sources' own shares, so all queues end together;
@@ -15,7 +15,8 @@ padded. Documents are cut at queue turns and sequence ends and nowhere else.
 Tokens are counted once and kept as a table; then one row per (input partition, source) gives each partition its place in the queues, and the pieces
 follow partition by partition. No document moves to another task unless those rows are too many to broadcast, when Spark joins by a shuffle.
 
-Sources that hold less than one token of a window, and all beyond the ``MOST_QUEUES`` largest, share one queue.
+Sources that hold less than two tokens of a window, and all beyond the ``MOST_QUEUES`` largest, share one queue; a source that ``targets`` names has its
+own, however small.
 
 Defined cases: null or empty text is only the end id; a null source is a source of its own; repeated rows and null ids
 are packed like others; an empty table gives no rows; other columns are ignored.
@@ -204,13 +205,16 @@ def phases(tokens: list[int], weights: list[float] | None) -> list[list[int]]:
     return out
 
 
-def _queues(sources: DataFrame, window: int) -> tuple[list[str], list[int]]:
-    """Names of the queues of their own, and the tokens of these and of the shared last queue."""
+def _queues(sources: DataFrame, window: int, targets: dict[str, float] | None) -> tuple[list[str], list[int]]:
+    """Names of the queues of their own, and the tokens of these and of the shared last queue. A source that ``targets`` names always has its own."""
     total = sources.agg(F.sum("n")).first()[0] or 0
-    named = [(r["source"], r["n"]) for r in sources.orderBy(F.desc("n"), "source").limit(MOST_QUEUES).collect() if r["n"] * window >= 2 * total]
-    rest = total - sum(n for _, n in named)
-    if named and 0 < rest * window < 2 * total:
-        rest += named.pop()[1]
+    wanted = [f"={s}" for s in targets or {}]
+    large = [(r["source"], r["n"]) for r in sources.orderBy(F.desc("n"), "source").limit(MOST_QUEUES).collect() if r["n"] * window >= 2 * total and r["source"] not in wanted]
+    chosen = [(r["source"], r["n"]) for r in sources.where(F.col("source").isin(wanted)).orderBy(F.desc("n"), "source").collect()] if wanted else []
+    rest = total - sum(n for _, n in large + chosen)
+    if large and 0 < rest * window < 2 * total:
+        rest += large.pop()[1]
+    named = chosen + large
     return [s for s, _ in named], [n for _, n in named] + [rest]
 
 
@@ -248,7 +252,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
     plain = docs.select(F.col(id_col).alias("key"), source.alias("source"), F.col(text_col).alias("text"))
     counted = written(plain.mapInArrow(tokens, f"key {kind}, source string, part int, start long, n long, ids binary"), "tokens")
     parts = written(counted.groupBy("part", "source").agg(F.sum("n").alias("n")), "part-tokens")
-    names, sizes = _queues(parts.groupBy("source").agg(F.sum("n").alias("n")), window)
+    names, sizes = _queues(parts.groupBy("source").agg(F.sum("n").alias("n")), window, targets)
     weights = None if targets is None else [targets.get(s[1:], 0.0) if s != "null" else 0.0 for s in names] + [0.0]
     plan = Plan(phases(sizes, weights), window, length)
     numbers = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, queue int")

@@ -196,6 +196,43 @@ def test_packing_round_trip(spark, targets):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, source string"), "word_bpe_49k.json").count() == 0
 
 
+def window_shares(spark, targets):
+    """Tokens of each source in each window, of two large sources and sixty that hold a few tokens each."""
+    rows = [(i, "thing " * 99, "a" if i % 2 else "b") for i in range(200)] + [(1000 + i, "small " * 29, f"s{i}") for i in range(60)]
+    source = {i: s for i, _, s in rows}
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), "word_bpe_49k.json", length=256, window_sequences=4, targets=targets).collect()
+    windows = defaultdict(Counter)
+    for r in got:
+        windows[r.sequence_id // 4][source[r.doc_id]] += r.length
+    return windows
+
+
+def test_every_window_holds_the_shares_of_the_sources(spark):
+    windows = window_shares(spark, None)
+    whole = [w for w in sorted(windows) if sum(windows[w].values()) == 1024]
+    total = sum(map(sum, (c.values() for c in windows.values())))
+    held = Counter()
+    for w in whole:  # deficits carry over: after any number of windows each large source has its share
+        held.update(windows[w])
+        for s in "ab":
+            assert abs(held[s] - (w + 1) * 1024 * 10_000 / total) < 2
+    assert len(whole) >= 20
+
+
+def test_targets_hold_even_for_the_smallest_source(spark):
+    windows = window_shares(spark, {"a": 0.5, "b": 0.3, "s7": 0.2})
+    assert windows[0]["s7"] == 30  # 0.2 of a window is more than it has: all of it comes first
+    # 150 tokens until it is dry, from then on a and b share as 5 to 3 until a is dry as well
+    for w in range(14):
+        so_far = Counter()
+        for v in range(w + 1):
+            so_far.update(windows[v])
+        rest = (w + 1) * 1024 - 150
+        assert abs(so_far["a"] - 75 - rest * 5 / 8) < 2 and abs(so_far["b"] - 45 - rest * 3 / 8) < 2
+    small = [f"s{i}" for i in range(60) if i != 7]
+    assert not any(windows[w][s] for w in range(10) for s in small) and sum(windows[w][s] for w in windows for s in small) == 59 * 30
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
