@@ -93,7 +93,7 @@ def disputed_values(obs: DataFrame, voted: DataFrame) -> DataFrame:
 
 
 def tier_vote(obs: DataFrame) -> DataFrame:
-    """Fixed confidence by vote count; without any agreement the last engine's value stands."""
+    """Fixed confidence by vote count; without any agreement the last engine's value stands, and a field that nobody read is missing."""
     checked = V.is_rule_checked(F.col("field"))
     ballots = _ballots(obs).withColumn("ok", checked & V.passes_rule_check(F.col("field"), F.col("norm")))
     by_last = F.col("last_rank") == len(K.ENGINES)
@@ -105,18 +105,19 @@ def tier_vote(obs: DataFrame) -> DataFrame:
         .when(F.col("top") >= 2, -F.col("votes"))
         .otherwise(F.when(by_last, 0).otherwise(1))
     )
-    won = _tally(ballots, [rank, F.col("first_rank")]).where("norm is not null")
-    split = ~checked & (F.col("top") < 2)
-    failed = checked & ~F.col("ok")
+    won = _tally(ballots, [rank, F.col("first_rank")])
+    missing = F.col("norm").isNull()
+    split = ~checked & F.coalesce(F.col("top") < 2, F.lit(False))
+    failed = checked & ~F.col("ok") & ~missing
     confidence = (
-        F.when(checked, F.when(F.col("ok"), 0.98).otherwise(0.40))
+        F.when(missing, 0.0).when(checked, F.when(F.col("ok"), 0.98).otherwise(0.40))
         .when(F.col("votes") >= 3, 0.94)
         .when((F.col("votes") == 2) & by_last, 0.85)
         .when(F.col("votes") == 2, 0.78)
         .otherwise(0.55)
     )
     level = (
-        F.when(checked, F.when(F.col("ok"), "HIGH").otherwise("LOW"))
+        F.when(missing, "MISSING").when(checked, F.when(F.col("ok"), "HIGH").otherwise("LOW"))
         .when(F.col("votes") >= 3, "HIGH").when(F.col("votes") == 2, "MEDIUM").otherwise("LOW")
     )
     return won.select(

@@ -105,14 +105,3 @@ def _top(spark, base):
     FROM (SELECT label, rank() OVER (ORDER BY risk) + (count(*) OVER (PARTITION BY risk) - 1) / 2.0::DOUBLE AS r FROM risky JOIN b3 USING (batch_id))""", "b3", **AG, risky=_RISK))
 def _auc(spark, base):
     return S.auc(with_risk(spark, base), "risk", "label")
-
-
-@query("revalidate_batches", oracle("""SELECT batch_id, score, grade, risk, CASE WHEN critical > 0 OR score < 70 OR risk >= 0.35 THEN 'review_ready' ELSE 'validated' END AS status FROM scored JOIN risky USING (batch_id)""", "b3", **AG, risky=_RISK))
-def _revalidate(spark, base):
-    from quayside.operators import listing as L
-
-    df = with_risk(spark, base)
-    gate = L.review_gate(F.col("score"), F.col("risk"), F.col("critical") > 0)
-    return df.select("batch_id", "score", "grade", "risk", L.next_status(F.lit(False), F.lit(True), F.lit(True), gate["needs_review"]).alias("status"))
-
-

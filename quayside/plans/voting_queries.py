@@ -60,10 +60,10 @@ _TIER = {
 
 
 @query("tier_vote", oracle("""SELECT batch_id, doc_id, doc_type, field, norm AS value,
-    (CASE WHEN field = 'hs_code' THEN 0.98 WHEN votes >= 3 THEN 0.94 WHEN votes = 2 AND last_rank = 4 THEN 0.85 WHEN votes = 2 THEN 0.78 ELSE 0.55 END)::DOUBLE AS confidence,
-    CASE WHEN field = 'hs_code' OR votes >= 3 THEN 'HIGH' WHEN votes = 2 THEN 'MEDIUM' ELSE 'LOW' END AS level,
-    CASE WHEN field = 'hs_code' THEN 'rule' ELSE 'ensemble' END AS source, field <> 'hs_code' AND top < 2 AS disagreement
-    FROM ranked WHERE place = 1 AND norm IS NOT NULL""", "b2", **_TIER))
+    (CASE WHEN norm IS NULL THEN 0 WHEN field = 'hs_code' THEN 0.98 WHEN votes >= 3 THEN 0.94 WHEN votes = 2 AND last_rank = 4 THEN 0.85 WHEN votes = 2 THEN 0.78 ELSE 0.55 END)::DOUBLE AS confidence,
+    CASE WHEN norm IS NULL THEN 'MISSING' WHEN field = 'hs_code' OR votes >= 3 THEN 'HIGH' WHEN votes = 2 THEN 'MEDIUM' ELSE 'LOW' END AS level,
+    CASE WHEN field = 'hs_code' AND norm IS NOT NULL THEN 'rule' ELSE 'ensemble' END AS source, field <> 'hs_code' AND coalesce(top < 2, false) AS disagreement
+    FROM ranked WHERE place = 1""", "b2", **_TIER))
 def _tier(spark, base):
     return vote.tier_vote(B.observations(spark, base))
 

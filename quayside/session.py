@@ -48,11 +48,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) is a temporary folder made and written back to the session setting.
+    The cluster names it in ``spark.checkpoint.dir``; a cluster that does not is an error. Only where driver and executors
+    are one process (tests) is a temporary folder made and written back to the session setting.
     """
     found = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if found is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")

@@ -97,3 +97,10 @@ def test_a_field_entering_by_correction_is_logged(spark):
     after = spark.createDataFrame([(1, "d", "kept", "x"), (1, "d", "changed", "z"), (1, "d", "new", "n")], keys)
     got = {(r.field, r.before_state, r.after_state) for r in vote.correction_log(before, after).collect()}
     assert got == {("changed", "y", "z"), ("new", None, "n")}
+
+
+def test_a_field_nobody_read_is_missing(spark):
+    r = one(vote.tier_vote(readings(spark, "voyage_number", [None, None, None, None])))
+    assert (r["value"], r["confidence"], r["level"], r["disagreement"]) == (None, 0.0, "MISSING", False)
+    r = one(vote.tier_vote(readings(spark, "hs_code", [None, None, None, None])))
+    assert (r["value"], r["confidence"], r["level"], r["source"], r["disagreement"]) == (None, 0.0, "MISSING", "ensemble", False)
