@@ -111,6 +111,49 @@ def test_every_grid_and_brute_force_agree(spark):
     assert search.nearest(df, df.limit(0), 4).count() == 0 and search.nearest(df.limit(0), df, 4).count() == 0
 
 
+def brute_texts(requests, catalogue, k):
+    import math
+    import re
+    from collections import Counter
+
+    held = {i: Counter(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in catalogue}
+    df, n = Counter(t for c in held.values() for t in c), len(held)
+    idf = {t: math.log((n + 1) / (d + 1)) for t, d in df.items()}
+    unit = lambda c: {t: v * idf[t] for t, v in c.items() if idf.get(t)}
+    length = lambda w: math.sqrt(sum(v * v for v in w.values()))
+    out = []
+    for q, text in requests:
+        w = unit(Counter(re.findall("[a-z0-9]+", (text or "").lower())))
+        found = []
+        for i, c in held.items():
+            v = unit(c)
+            p = sum(w[t] * v[t] for t in w if t in v)
+            if p:
+                found.append((-round(p / length(w) / length(v), 6), i))
+        out += [(q, i, place, -sim) for place, (sim, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("grid", [{}, {"tile_entries": 7, "slices": 3}, {"tile_entries": 40, "slices": 1}])
+def test_token_search_against_all_pairs(spark, grid):
+    """Words of very unequal frequency, one in every entry, many equal entries; empty, missing and unheard-of texts."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    text = lambda n: " ".join(["everywhere", *rnd.choices(words, weights, k=n)])
+    catalogue = [(i, text(rnd.randint(1, 12))) for i in range(80)] + [(100 + i, "everywhere same W1-w2") for i in range(12)]
+    requests = [(i, text(rnd.randint(0, 20))) for i in range(50)] + [(60, None), (61, ""), (62, "nothing known"), (63, "everywhere"), (64, "same"), (65, "w3 " * 5000)]
+    got = search.text_nearest(spark.createDataFrame(requests, "id bigint, text string").repartition(3), spark.createDataFrame(catalogue, "id bigint, text string").repartition(2), 4, **grid).collect()
+    want = brute_texts(requests, catalogue, 4)
+    assert sorted((r.query_id, r.match_id, r.place) for r in got) == sorted(w[:3] for w in want)
+    assert max(abs(r.similarity - w[3]) for r, w in zip(sorted(got, key=lambda r: (r.query_id, r.place)), sorted(want, key=lambda w: (w[0], w[2])))) < 1e-9
+
+
+def test_token_search_without_catalogue_or_requests(spark):
+    some, none = spark.createDataFrame([(1, "a b")], "id bigint, text string"), spark.createDataFrame([], "id bigint, text string")
+    assert search.text_nearest(some, none).count() == 0 and search.text_nearest(none, some).count() == 0
+
+
 def test_ids_that_repeat_do_not_gather_in_one_tile(spark):
     rows = spark.range(0, 4000, 1, 4).select(F.lit(7).cast("long").alias("id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "id bigint, embedding array<double>")
