@@ -26,8 +26,11 @@ TYPED = f"""SELECT *, total_c + CASE l_partkey % 4 WHEN 1 THEN total_c * 3 // 10
 
 
 def typed_documents(spark, base) -> DataFrame:
-    """Wide fields of every document, money in cents."""
-    d = B.documents_of_batches(spark, base)
+    return shape_typed(B.documents_of_batches(spark, base))
+
+
+def shape_typed(d: DataFrame) -> DataFrame:
+    """Wide fields of every document, money in cents; serves batch reads and streams alike."""
     pk = F.col("l_partkey")
     cents = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("bigint")
     d = d.withColumn("fob_c", cents)
@@ -53,7 +56,11 @@ def _money(c: str):
 
 
 def typed_fields(spark, base) -> DataFrame:
-    d = spread(typed_documents(spark, base), "batch_id")
+    return fields_of(spread(typed_documents(spark, base), "batch_id"))
+
+
+def fields_of(d: DataFrame) -> DataFrame:
+    """The wide fields as rows."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     cells = {
         "total_packages": F.col("packages").cast("string"), "gross_weight": _money("fob_c"), "currency": F.col("currency"), "hs_code": F.col("hs_code"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.normalize import normalize_field
 from quayside.plans import bindings as B
 from quayside.plans.bindings import oracle
 from quayside.plans.catalog import query
 from quayside.plans.history_queries import ALLOWED, _STREAK
+from quayside.plans.rules_queries import TYPED, fields_of, shape_typed
 from quayside.sources.dims import load_rules
 from quayside.sources.tables import read_table
 from quayside.streaming import jobs as J
@@ -95,15 +95,24 @@ def _positions(spark, base):
     return R.append_to_table(J.ingest_positions(feed), "positions").select("imo", F.unix_micros("ts").alias("at_us"))
 
 
-@query("validate_stream", oracle("""SELECT 'CV001' AS rule_id, count(*) AS checked, count(*) FILTER (length(value) = 8) AS passed, round((count(*) FILTER (length(value) = 8) / count(*)::DOUBLE)::DECIMAL(18,8), 6)::DOUBLE AS pass_rate
-    FROM (SELECT CASE WHEN length(value) = 6 THEN value || '00' ELSE value END AS value FROM b2 WHERE field = 'hs_code')""", "b2"))
+_CHECKED = """SELECT batch_id, doc_id, unnest(['CV001', 'CV003', 'CV004', 'CV011']) AS rule_id, unnest([length(hs_code) = 8, length(nib) = 13, length(npwp) = 15, true]) AS ok FROM typed"""
+
+
+def validated(spark, base) -> DataFrame:
+    """All fields of the arriving documents through all format rules."""
+    rules = load_rules(spark)
+    arriving = fields_of(shape_typed(B.shape_documents(R.table_stream(spark, base, "lineitem"))))
+    return R.each_batch_to_table(arriving, "validate", lambda rows: J.rule_work(rows, rules))
+
+
+@query("validate_stream", oracle("SELECT rule_id, count(*) AS checked, count(*) FILTER (ok) AS passed, round((count(*) FILTER (ok) / count(*)::DOUBLE)::DECIMAL(18,8), 6)::DOUBLE AS pass_rate FROM checked GROUP BY 1", "docs", typed=TYPED, checked=_CHECKED))
 def _validate(spark, base):
-    rules = load_rules(spark).where("type in ('regex', 'regex_and_lookup', 'lookup')")
-    lines = B.shape_documents(R.table_stream(spark, base, "lineitem"))
-    obs = B.shape_observations(lines).where("field = 'hs_code'").select(
-        "batch_id", F.concat_ws("/", "doc_id", "engine").alias("doc_id"), "field", normalize_field(F.col("field"), F.col("value")).alias("value")
-    )
-    return J.rule_pass_rates(R.each_batch_to_table(obs, "validate", lambda rows: J.rule_counts(rows, rules)))
+    return J.rule_pass_rates(validated(spark, base))
+
+
+@query("validate_stream_documents", oracle("SELECT batch_id, doc_id, count(*)::INT AS rules, count(*) FILTER (NOT ok)::INT AS failed, round((count(*) FILTER (ok) / count(*)::DOUBLE * 100)::DECIMAL(18,8), 1)::DOUBLE AS score, bool_and(ok) AS valid FROM checked GROUP BY 1, 2", "docs", typed=TYPED, checked=_CHECKED))
+def _validate_documents(spark, base):
+    return validated(spark, base).drop("results")
 
 
 @query("latency_windows", oracle("""SELECT strftime(ts, '%Y-%m-%d') AS day, action, count(*) AS n, max(amount) AS slowest, quantile_disc(amount, 0.95) AS p95, count(*) FILTER (amount < 0) AS below, count(*) FILTER (amount >= 0 AND amount < 25) AS from_0, count(*) FILTER (amount >= 25 AND amount < 50) AS from_25,

@@ -168,13 +168,18 @@ def expiry(log: DataFrame, hours: int = 48, terminal=tuple(K.TERMINAL_STATUSES),
     return expiring(log, "batch_id", F.col("action").isin(list(terminal)), hours, late).withColumnRenamed("key", "batch_id")
 
 
-def rule_counts(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """Work of one micro-batch of the validation stream: format rules, counted per rule."""
-    return document_rules(fields, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if("passed").alias("passed"))
-
-
-def rule_pass_rates(counts: DataFrame) -> DataFrame:
-    """Pass rate per rule over the counts of all micro-batches."""
-    return counts.groupBy("rule_id").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed")).withColumn(
-        "pass_rate", rnd(F.col("passed") / F.col("checked"), 6)
-    )
+def rule_work(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """Work of one micro-batch of the validation stream: the format rules over all fields, one row per document with its results (at most one a rule) and its score, the share of rules
+    that passed. A document is valid when no rule of severity ERROR failed."""
+    result = F.struct("rule_id", "severity", "passed")
+    per = document_rules(fields, rules).groupBy("batch_id", "doc_id").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    failed = F.filter("results", lambda r: ~r["passed"])
+    blocking = F.exists("results", lambda r: ~r["passed"] & (r["severity"] == "ERROR"))
+    share = (F.size("results") - F.size(failed)) / F.size("results")
+    return per.select("batch_id", "doc_id", "results", F.size("results").alias("rules"), F.size(failed).alias("failed"), rnd(share * 100, 1).alias("score"), (~blocking).alias("valid"))
+
+
+def rule_pass_rates(work: DataFrame) -> DataFrame:
+    """Pass rate per rule over the documents of all micro-batches."""
+    each = work.select(F.explode("results").alias("r")).groupBy(F.col("r.rule_id").alias("rule_id")).agg(F.count(F.lit(1)).alias("checked"), F.count_if("r.passed").alias("passed"))
+    return each.withColumn("pass_rate", rnd(F.col("passed") / F.col("checked"), 6))
