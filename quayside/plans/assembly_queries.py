@@ -71,22 +71,6 @@ def _flags(spark, base):
     return E.flag_accuracy(items, F.col("goods_code"), (F.pmod("part", F.lit(100)) == 28) & (F.pmod("supplier", F.lit(5)) != 0))
 
 
-@query("eval_gates", oracle("""SELECT metric, value, target, CASE WHEN allowance > 0 THEN value <= target ELSE value >= target END AS on_target, CASE WHEN allowance > 0 THEN value <= target + allowance ELSE value >= target + allowance END AS passed FROM (
-    SELECT 'field_extraction_accuracy_digital' AS metric, round(avg(score)::DECIMAL(18,8), 4)::DOUBLE AS value, 0.95::DOUBLE AS target, -0.05::DOUBLE AS allowance FROM anls JOIN (SELECT doc_id AS source_id, lang FROM documents) USING (source_id) WHERE lang = 'en'
-    UNION ALL SELECT 'field_extraction_accuracy_scanned', round(avg(score)::DECIMAL(18,8), 4)::DOUBLE, 0.85, -0.05 FROM anls JOIN (SELECT doc_id AS source_id, lang FROM documents) USING (source_id) WHERE lang <> 'en'
-    UNION ALL SELECT 'critical_fields_accuracy', round(avg(score)::DECIMAL(18,8), 4)::DOUBLE, 0.92, -0.03 FROM anls WHERE field IN ('hs_code', 'nomorBl'))""", "b6", anls=ANLS))
-def _gates(spark, base):
-    langs = read_table(spark, base, "documents", ["doc_id", "lang"]).withColumnRenamed("doc_id", "source_id")
-    s = scored_pairs(spark, base).join(langs, "source_id")
-    m = s.agg(
-        F.avg(F.when(F.col("lang") == "en", F.col("score"))).alias("field_extraction_accuracy_digital"),
-        F.avg(F.when(F.col("lang") != "en", F.col("score"))).alias("field_extraction_accuracy_scanned"),
-        F.avg(F.when(F.col("field").isin("hs_code", "nomorBl"), F.col("score"))).alias("critical_fields_accuracy"),
-    )
-    metrics = m.unpivot([], m.columns, "metric", "value").select("metric", rnd(F.col("value"), 4).alias("value"))
-    return E.evaluation_gates(metrics)
-
-
 _TRUTH = {
     "nomorBl": ["nomorBl", "booking_no"], "hs_code": ["hs_code", "hs_code_raw"], "beratKotor": ["beratKotor", "beratKotor_raw"],
 }
