@@ -27,12 +27,13 @@ def _real_type(head: Column) -> Column:
 
 
 def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """One row per file with digest, size, types and the reason it is turned away, if any.
+    """Files of a landing folder, checked by ``check_files``. Content is read only for files within the size limit; the
+    length filter reaches the scan, so a huge file is listed but never loaded."""
+    return check_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), max_bytes, max_files)
 
-    The folder of a file is its batch. Content is read only for files within the size limit; the
-    length filter reaches the scan, so a huge file is listed but never loaded.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+def check_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES) -> DataFrame:
+    """One row per file (path, length, content) with digest, size, types and the reason it is turned away, if any. The folder of a file is its batch."""
     small = files.where(F.col("length") <= max_bytes).select(
         "path", "length", F.sha2("content", 256).alias("file_hash"), F.hex(F.substring("content", 1, 8)).alias("head")
     )
