@@ -14,6 +14,7 @@ span; rows that repeat are each reported; null ids are kept; an empty table give
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -120,7 +121,7 @@ def sentences(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, identifier, version) of the licence sentences in order, as lines and as sentences wrapped over lines."""
     if not hinted(text):
         return []
-    found: dict[tuple[int, str], tuple[int, int, str, str]] = {}
+    found: dict[str, list[tuple[int, int, str, str]]] = {}  # by identifier, in order and without overlaps
     text = _LEADER.sub(lambda m: " " * len(m[0]), text)  # the same length, so places stay
     edges = [0, *(m.end() for m in _PARAGRAPH.finditer(text)), len(text)]
     for low, high in zip(edges, edges[1:]):
@@ -135,10 +136,12 @@ def sentences(text: str) -> list[tuple[int, int, str, str]]:
                 if hit := identify(form[at:end]):
                     start = low + at + len(form[at:end]) - len(form[at:end].lstrip())
                     stop = low + at + len(form[at:end].rstrip())
-                    if not any(s < stop and start < e and n == hit[0] for s, e, n, _ in found.values()):
-                        found[start, hit[0]] = (start, stop, *hit)
+                    own_kind = found.setdefault(hit[0], [])
+                    i = bisect.bisect_left(own_kind, (start,))
+                    if not (i and own_kind[i - 1][1] > start) and not (i < len(own_kind) and own_kind[i][0] < stop):
+                        own_kind.insert(i, (start, stop, *hit))
                 at = end
-    return sorted(found.values())
+    return sorted(x for kind in found.values() for x in kind)
 
 
 def _sequence(seen: list[tuple[int, int, str, str]], used: set[int], first: int, sequence: tuple[str, ...]) -> list[int] | None:

@@ -71,7 +71,7 @@ def members(stream) -> Iterator[tuple[int, bytes]]:
 
 
 def parse(raw: bytes) -> dict:
-    """Fields of one record; its block is framed by Content-Length and its digests are verified."""
+    """Fields of one record; its block is framed by Content-Length and its digests are verified. A response that announces no length of its own is as long as its block."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
@@ -85,7 +85,7 @@ def parse(raw: bytes) -> dict:
     announced = re.search(rb"(?im)^content-length:\s*(\d+)", http)
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     whole = fields["warc-type"] == "response"
-    good = f"sha1:{base32_sha1(block)}" == fields.get("warc-block-digest") and (not whole or (base32_sha1(payload) == digest and int(announced[1]) == len(payload)))
+    good = f"sha1:{base32_sha1(block)}" == fields.get("warc-block-digest") and (not whole or (base32_sha1(payload) == digest and (announced is None or int(announced[1]) == len(payload))))
     return {"record_type": fields["warc-type"], "record_id": fields["warc-record-id"], "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
             "payload_digest": digest, "payload_bytes": int(announced[1]) if announced else len(payload), "payload": payload if whole else None, "verified": good}
 

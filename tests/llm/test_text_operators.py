@@ -428,3 +428,31 @@ def test_prefix_tree_of_very_many_branchings():
         assert len(np.intersect1d(sets[a], sets[b])) * 100 >= 90 * len(np.union1d(sets[a], sets[b]))
         top[find(a)] = find(b)
     assert len({find(i) for i in range(3000)}) == 1
+
+
+def test_a_response_without_a_length_of_its_own_is_read():
+    raw = warc.record("response", "<urn:page:1>", "http://x", b"<p>a</p>", None)
+    import gzip
+    import re as re_
+
+    whole = gzip.decompress(raw)
+    head, _, rest = whole.partition(b"\r\n\r\n")
+    block = re_.sub(rb"(?i)content-length: *\d+\r\n", b"", rest[:-4])
+    head = re_.sub(rb"(?im)^content-length:[^\r\n]*", b"Content-Length: %d" % len(block), head)
+    head = re_.sub(rb"(?im)^warc-block-digest:[^\r\n]*", b"WARC-Block-Digest: sha1:" + warc.base32_sha1(block).encode(), head)
+    got = warc.parse(head + b"\r\n\r\n" + block + b"\r\n\r\n")
+    assert got["payload"] == b"<p>a</p>" and got["payload_bytes"] == 8 and got["verified"]
+
+
+def test_very_many_licence_sentences_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"Copyright (c) {1900 + i % 120} Someone {i}" for i in range(n))
+        at = time.perf_counter()
+        found = licenses.sentences(text)
+        assert len(found) == n and [f[0] for f in found] == sorted(f[0] for f in found)
+        return time.perf_counter() - at
+
+    seconds(500)
+    assert seconds(16_000) < 10 * seconds(4_000) + 1
