@@ -27,27 +27,45 @@ def _real_type(head: Column) -> Column:
 
 
 def ingest_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """Files of a landing folder, checked by ``check_files``. Content is read only for files within the size limit; the
-    length filter reaches the scan, so a huge file is listed but never loaded."""
-    return check_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), max_bytes, max_files)
+    """Files of a landing folder, checked by ``check_files``. A file beyond the size limit is listed, and its content never loaded: the length filter reaches the scan."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    fit = F.col("length") <= max_bytes
+    listed = files.where(~fit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return check_files(files.where(fit).select("path", "length", "content").unionByName(listed), max_bytes, max_files)
 
 
 def check_files(files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_files: int = MAX_FILES) -> DataFrame:
     """One row per file (path, length, content) with digest, size, types and the reason it is turned away, if any. The folder of a file is its batch."""
-    small = files.where(F.col("length") <= max_bytes).select(
-        "path", "length", F.sha2("content", 256).alias("file_hash"), F.hex(F.substring("content", 1, 8)).alias("head")
-    )
-    big = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("file_hash"), F.lit("").alias("head"))
-    rows = small.unionByName(big).select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("batch"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"), "file_hash",
-        _real_type(F.col("head")).alias("real_type"),
+    return within_batches(file_rows(files, max_bytes), max_files)
+
+
+def file_rows(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """What a file shows by itself: digest, size, types and the reason to turn it away that lies in it."""
+    small = F.col("length") <= max_bytes
+    rows = files.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("batch"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"),
+        F.when(small, F.sha2("content", 256)).alias("file_hash"), _real_type(F.when(small, F.hex(F.substring("content", 1, 8))).otherwise("")).alias("real_type"),
     )
     endings = F.create_map(*[F.lit(x) for p in ENDINGS.items() for x in p])
     rows = rows.withColumn("claimed_type", F.coalesce(F.try_element_at(endings, F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))), F.lit("unknown")))
-    per_batch = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("files"))
     matches = (F.col("claimed_type") == F.col("real_type")) | (F.col("claimed_type").isin(ZIP_BASED) & (F.col("real_type") == "application/zip"))
     reason = (
         F.when(F.col("size_bytes") > max_bytes, "exceeds 50MB limit").when(F.col("claimed_type") == "unknown", "unsupported file type")
-        .when(~matches, "content does not match claimed type").when(F.col("files") > max_files, "too many files in batch")
+        .when(~matches, "content does not match claimed type")
     )
-    return rows.join(per_batch, "batch").withColumn("doc_type", infer_doc_type(F.col("name"))).withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
+    return rows.withColumn("doc_type", infer_doc_type(F.col("name"))).withColumn("reject_reason", reason)
+
+
+def within_batches(rows: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+    """The rule over a whole batch: sound files of a batch with too many files are turned away."""
+    per_batch = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("files"))
+    reason = F.coalesce("reject_reason", F.when(F.col("files") > max_files, "too many files in batch"))
+    return rows.join(per_batch, "batch").withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
+
+
+def landing_stream(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, max_files_per_trigger: int = 1000) -> DataFrame:
+    """The files of a landing folder as they arrive, each handed out once: the source keeps the files it has read in the query's checkpoint. Feed it to
+    ``runner.append_to_table`` and put ``within_batches`` over the table, as a batch may arrive in several micro-batches."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files_per_trigger).load(path)
+    return file_rows(files, max_bytes)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quayside import constants as K
 from quayside.operators import history as H
 from quayside.plans import bindings as B
+from quayside.sources.files import landing_stream, within_batches
 from quayside.sources.tables import read_table
 from quayside.streaming import jobs as J
 from quayside.streaming import runner as R
@@ -139,3 +140,29 @@ def test_expired_batches_stay_expired_and_are_forgotten(spark, tmp_path):
 def test_append_is_complete_and_repeatable(spark, base, parts):
     got = R.append_to_table(feed(spark, parts).select("event_id"), "t")
     assert got.count() == read_table(spark, base, "events").count()
+
+
+def test_every_landed_file_is_checked_once(spark, tmp_path):
+    """Files arrive between two runs of the same stream; a batch that grows beyond its limit is turned away as a whole in the view."""
+    root, out = tmp_path / "landing", tmp_path / "out"
+
+    def land(name, content):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+
+    def run():
+        stream = landing_stream(spark, str(root), max_bytes=20, max_files_per_trigger=1)
+        stream.writeStream.format("parquet").option("path", f"{out}/t").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(f"{out}/t")
+        return rows.count(), {(r.batch, r.name): r.reject_reason for r in within_batches(rows, 2).collect()}
+
+    land("b1/bl.pdf", b"%PDF-1.7 a")
+    land("b1/pl.pdf", b"%PDF-1.7 b")
+    land("b2/inv.png", b"%PDF-1.7 c")
+    first = {("b1", "bl.pdf"): None, ("b1", "pl.pdf"): None, ("b2", "inv.png"): "content does not match claimed type"}
+    assert run() == (3, first) and run() == (3, first)
+    land("b1/inv.jpg", bytes.fromhex("FFD8FF") + b"x")
+    land("b2/note.txt", b"hello")
+    land("b3/bl.pdf", b"%PDF" + b"x" * 30)
+    many = dict.fromkeys([("b1", "bl.pdf"), ("b1", "pl.pdf"), ("b1", "inv.jpg")], "too many files in batch")
+    assert run() == (6, first | many | {("b2", "note.txt"): "unsupported file type", ("b3", "bl.pdf"): "exceeds 50MB limit"})
