@@ -191,7 +191,7 @@ def port_congestion(lineups: DataFrame) -> DataFrame:
     """Line-ups per port and day, scaled to the busiest port and day."""
     per_day = lineups.groupBy("port", F.to_date("eta").alias("day")).agg(F.count(F.lit(1)).alias("ships"))
     peak = per_day.agg(F.max("ships").alias("peak"))
-    return per_day.join(F.broadcast(peak)).select("port", F.date_format("day", "yyyy-MM-dd").alias("day"), "ships", rnd(F.col("ships") / F.col("peak"), 6).alias("congestion"))
+    return per_day.select("port", F.date_format("day", "yyyy-MM-dd").alias("day"), "ships", rnd(F.col("ships") / peak.scalar(), 6).alias("congestion"))
 
 
 def maritime_features(checked: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ CHECKED = [
     "submission_chain", "platform_kpis", "hs_topk", "merkle_root",
 ]
 # joins of single-row results are planned as nested loops over one row
-SINGLE_ROW_JOINS = {"platform_kpis", "port_congestion"}
+SINGLE_ROW_JOINS = {"platform_kpis"}
 MODELS = {"train_rejection", "score_rejection", "feature_importance"}  # minutes of training; run by check.py
 RUNS_WHEN_BUILT = {"train_rejection", "score_rejection", "feature_importance", "hs_topk", "hs_accuracy", "text_knn", "merkle_root", "submission_chain", "replace_by_key", "declaration_sink", "revalidate_batches"}
 

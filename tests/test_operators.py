@@ -105,7 +105,7 @@ def test_every_grid_and_brute_force_agree(spark):
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit @ unit.T, 6)
     want = sorted((q, c, p + 1) for q in range(90) for p, c in enumerate(sorted((c for c in range(90) if c != q), key=lambda c: (-sims[q, c], c))[:4]))
-    for grid in ({}, {"tile_bytes": 16 * 64, "slices": 3}, {"tile_bytes": 1}, {"slices": 1}):
+    for grid in ({}, {"tile_bytes": 16 * 64, "slices": 3}, {"tile_bytes": 4 * 64}, {"slices": 1}):
         got = search.nearest(df, df, 4, **grid).select("query_id", "match_id", "place").collect()
         assert sorted(map(tuple, got)) == want
     assert search.nearest(df, df.limit(0), 4).count() == 0 and search.nearest(df.limit(0), df, 4).count() == 0
@@ -266,7 +266,7 @@ def test_no_division_by_zero(spark):
     assert [tuple(r) for r in H.first_attempt_rate(none).collect()] == [(0, None)]
 
 
-def test_model_queries_train_the_full_model_on_the_tables(spark, base, monkeypatch):
+def test_model_queries_train_the_full_model_once_on_the_tables(spark, base, monkeypatch, tmp_path):
     from quayside import constants as K
     from quayside.operators import models
     from quayside.plans import model_queries
@@ -278,8 +278,10 @@ def test_model_queries_train_the_full_model_on_the_tables(spark, base, monkeypat
         return whole(features, trees=2, depth=2)
 
     monkeypatch.setattr(models, "rejection_pipeline", small)
-    assert model_queries._train(spark, base).first().trained
-    got = model_queries._importance(spark, base).collect()
+    monkeypatch.setattr(model_queries, "store_of", lambda spark, base: model_queries.ModelStore(spark, str(tmp_path)))
+    got = model_queries._importance(spark, base).collect()  # there is no model yet: one is trained, and found from then on
+    assert model_queries._importance(spark, base).collect() == got and model_queries._score(spark, base).count() > 0
+    assert len(asked) == 1 and model_queries._train(spark, base).first().trained
     assert asked == [(list(K.API_FEATURES), {})] * 2 and got and {r.feature for r in got} <= {*K.API_FEATURES}
     assert models.feature_importance(None, K.API_FEATURES, spark).count() == 0
 
