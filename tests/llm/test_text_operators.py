@@ -85,6 +85,17 @@ def test_components_of_long_paths(spark):
     assert got == {**dict.fromkeys(path, min(path)), **dict.fromkeys(range(20_000, 20_301), 20_000)}
 
 
+def test_ngram_words_of_two_alternating_letters_differ(spark):
+    """Thue-Morse words of 1024 letters and their complements: equal under sums of powers modulo 2**64, so they were linked."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x y {word}"), (4, f"x y {other}"), (5, f"{word} {other} {word} {word} {word}")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4), (5, 3, 5)]
+
+
 def test_ngram_empty(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
