@@ -1,6 +1,9 @@
 """Votes on the boundary cases."""
 
+import pytest
+
 from quayside.operators import voting as vote
+from quayside.plans import load_catalog
 
 SCHEMA = "batch_id bigint, doc_id string, doc_type string, engine string, engine_rank int, field string, value string, confidence double"
 
@@ -104,3 +107,25 @@ def test_a_field_nobody_read_is_missing(spark):
     assert (r["value"], r["confidence"], r["level"], r["disagreement"]) == (None, 0.0, "MISSING", False)
     r = one(vote.tier_vote(readings(spark, "hs_code", [None, None, None, None])))
     assert (r["value"], r["confidence"], r["level"], r["source"], r["disagreement"]) == (None, 0.0, "MISSING", "ensemble", False)
+
+
+@pytest.mark.parametrize("name", ["majority_vote", "tier_vote", "weighted_vote", "rank_candidates", "avg_confidence", "disputed_values"])
+def test_readings_of_large_inputs_are_not_shuffled(spark, base, tmp_path, name):
+    """An input with more partitions than cores: only the documents are dealt out, before they become readings."""
+    spark.read.parquet(f"{base}/lineitem.parquet").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = load_catalog().QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
+
+
+def test_fields_of_large_inputs_are_not_shuffled(spark, base, tmp_path):
+    """The same for the typed fields of a batch and the headers made of them."""
+    spark.read.parquet(f"{base}/lineitem.parquet").repartition(8).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = load_catalog().QUERIES["declaration_hash"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
