@@ -129,3 +129,24 @@ def test_fields_of_large_inputs_are_not_shuffled(spark, base, tmp_path):
     plan = load_catalog().QUERIES["declaration_hash"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
     assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line and "Reused" not in line]
+
+
+@pytest.mark.parametrize("name", ["apply_corrections", "correction_log"])
+def test_corrections_meet_the_fields_where_both_lie(spark, base, name):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = exchanges(load_catalog().QUERIES[name](spark, base))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved and all("REPARTITION_BY_NUM" in line for line in moved)
+
+
+def test_fields_without_a_batch_are_not_matched(spark):
+    rec = spark.createDataFrame([(None, "d", "a", "x", 0.5, "ensemble")], "batch_id bigint, doc_id string, field string, value string, confidence double, source string")
+    fix = spark.createDataFrame([(None, "d", "a", "y", 1, 1)], "batch_id bigint, doc_id string, field string, corrected_value string, ts int, correction_id int")
+    assert sorted((r["value"], r["source"]) for r in vote.apply_corrections(rec, fix).collect()) == [("x", "ensemble"), ("y", "operator")]
