@@ -2,7 +2,9 @@
 
 import pytest
 
+from quayside.operators import listing
 from quayside.operators import voting as vote
+from quayside.plans import bindings as B
 from quayside.plans import load_catalog
 
 SCHEMA = "batch_id bigint, doc_id string, doc_type string, engine string, engine_rank int, field string, value string, confidence double"
@@ -150,3 +152,24 @@ def test_fields_without_a_batch_are_not_matched(spark):
     rec = spark.createDataFrame([(None, "d", "a", "x", 0.5, "ensemble")], "batch_id bigint, doc_id string, field string, value string, confidence double, source string")
     fix = spark.createDataFrame([(None, "d", "a", "y", 1, 1)], "batch_id bigint, doc_id string, field string, corrected_value string, ts int, correction_id int")
     assert sorted((r["value"], r["source"]) for r in vote.apply_corrections(rec, fix).collect()) == [("x", "ensemble"), ("y", "operator")]
+
+
+BY_BATCH = {
+    "distinct_values": lambda obs: vote.distinct_values(vote.majority_vote(obs)),
+    "completeness": lambda obs: listing.completeness(vote.majority_vote(obs)),
+    "last_write": lambda obs: listing.last_write(obs, ["batch_id", "field"], ["value", "engine"], ["doc_id", "engine"]),
+}
+
+
+@pytest.mark.parametrize("name", BY_BATCH)
+def test_fields_of_whole_batches_are_not_moved_again(spark, base, name):
+    """The one exchange beside the dealing counts the documents of a batch."""
+    moved = exchanges(BY_BATCH[name](B.observations_by_batch(spark, base)[0]))
+    assert len([line for line in moved if "ENSURE_REQUIREMENTS" in line]) == 1
+
+
+def test_crowded_batches_give_the_same_rows(spark, base, monkeypatch):
+    want = sorted(map(tuple, vote.distinct_values(vote.majority_vote(B.observations(spark, base))).collect()))
+    monkeypatch.setattr(B, "CROWDED", 4)
+    few, many = (BY_BATCH["distinct_values"](obs).collect() for obs in B.observations_by_batch(spark, base))
+    assert few and many and sorted(map(tuple, few + many)) == want
