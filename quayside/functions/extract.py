@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.common import as_number, digits
+from quayside.functions.common import as_number, digits, once
 from quayside.functions.normalize import folded, locale_float
 from quayside.functions.validate import field_format_valid
 
@@ -68,11 +68,11 @@ NAME_WORDS = [("bill_of_lading", "bl|bill|lading|konosemen"), ("packing_list", "
 
 
 def _group(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Column:
-    return F.nullif(F.regexp_extract(text, f"(?{flags}){pattern}", group), F.lit(""))
+    return once(F.regexp_extract(text, f"(?{flags}){pattern}", group), lambda found: F.nullif(found, F.lit("")))
 
 
 def _tidy(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ ,]+|[ ,]+$", ""), F.lit(""))
+    return once(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^[ ,]+|[ ,]+$", ""), lambda tidy: F.nullif(tidy, F.lit("")))
 
 
 def general_fields(text: Column) -> dict[str, Column]:
@@ -124,12 +124,12 @@ def document_fields(text: Column, doc_type: Column) -> dict[str, Column]:
         for field, pattern in patterns.items():
             value = _tidy(_group(text, pattern, 1, "im"))
             if field in MONEY_TEXT_FIELDS:
-                value = as_number(value).cast("string")
+                value = once(value, as_number).cast("string")
             per_field[field] = F.when(doc_type == kind, value) if field not in per_field else per_field[field].when(doc_type == kind, value)
     for kind, (pattern, packages, weight) in TOTALS_PATTERNS.items():
         pair = {
-            "total_packages": as_number(_group(text, pattern, packages, "is")).try_cast("bigint").cast("string"),
-            "gross_weight": as_number(_group(text, pattern, weight, "is")).cast("string"),
+            "total_packages": once(_group(text, pattern, packages, "is"), as_number).try_cast("bigint").cast("string"),
+            "gross_weight": once(_group(text, pattern, weight, "is"), as_number).cast("string"),
         }
         for field, value in pair.items():
             per_field[field] = F.when(doc_type == kind, value) if field not in per_field else per_field[field].when(doc_type == kind, value)

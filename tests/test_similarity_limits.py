@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quayside.functions import extract as X
 from quayside.functions import similarity as sim
 from quayside.plans import load_catalog
 
@@ -26,6 +27,13 @@ def test_common_subsequence_of_shared_ends():
         assert sim.lcs(a, b) == sim.lcs(b, a) == table[-1][-1]
 
 
+def test_a_pattern_is_searched_once(spark):
+    df = spark.createDataFrame([("CIF Value USD 1,200.50", "invoice")], "text string, doc_type string")
+    found = df.select(X.document_fields(F.col("text"), F.col("doc_type"))["cif_value"].alias("cif"))
+    assert found.first()["cif"] == "1200.5"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1
+
+
 def test_sentences_are_matched_where_they_are_cut(spark, base):
     plan = load_catalog().QUERIES["gt_vs_pred"](spark, base)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
