@@ -38,3 +38,10 @@ def test_sentences_are_matched_where_they_are_cut(spark, base):
     plan = load_catalog().QUERIES["gt_vs_pred"](spark, base)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange " in line and "Reused" not in line]
     assert moved and all("REPARTITION_BY_NUM" in line for line in moved if "Broadcast" not in line)
+
+
+def test_a_prediction_is_cleaned_once(spark):
+    df = spark.createDataFrame([(["Jakarta Port"], " JAKARTA port ")], "gt array<string>, pred string")
+    found = df.select(sim.anls(F.col("gt"), F.col("pred")).alias("score"))
+    assert found.first()["score"] == 1.0
+    assert found._jdf.queryExecution().analyzed().toString().count("lower(pred") == 2  # compared with none, else taken
