@@ -1,10 +1,12 @@
 """Votes on the boundary cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quayside.operators import listing
 from quayside.operators import voting as vote
 from quayside.plans import bindings as B
+from quayside.plans import gate_queries
 from quayside.plans import load_catalog
 
 SCHEMA = "batch_id bigint, doc_id string, doc_type string, engine string, engine_rank int, field string, value string, confidence double"
@@ -173,3 +175,23 @@ def test_crowded_batches_give_the_same_rows(spark, base, monkeypatch):
     monkeypatch.setattr(B, "CROWDED", 4)
     few, many = (BY_BATCH["distinct_values"](obs).collect() for obs in B.observations_by_batch(spark, base))
     assert few and many and sorted(map(tuple, few + many)) == want
+
+
+def lines(spark, rows):
+    names = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date, l_returnflag string"
+    return spark.createDataFrame([(*r, 0.0, 0.0, None, "N") for r in rows], names)
+
+
+@pytest.mark.parametrize("fields", [["total_packages"], ["hs_code", "vessel_name"]])
+def test_readings_of_some_fields_are_those_of_all(spark, fields):
+    docs = B.shape_documents(lines(spark, [(1, 1, 7, 3, 5.0, 10.0), (1, 2, 9, 3, 6.0, None), (1, 2, 9, 3, 6.0, None), (17, 1, None, 4, 2.0, 1.5), (34, 3, 17, 5, None, 2.0)]))
+    every, some = B.shape_observations(docs), B.shape_observations(docs, fields)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert some.schema == every.schema and key(some) == key(every.where(every["field"].isin(fields)))
+    assert key(vote.majority_vote(some)) == key(vote.majority_vote(every).where(F.col("field").isin(fields)))
+
+
+@pytest.mark.parametrize("part", [gate_queries.validation_recall, gate_queries.flagging_rate])
+def test_gates_of_the_package_numbers_vote_no_other_field(spark, base, part):
+    plan = part(spark, base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" in plan and not [x for x in ("KGS", "M/V", "gross_weight", "inline(") if x in plan]
