@@ -43,3 +43,10 @@ def test_millionths_are_the_decimal_image(spark):
     odd = [0.0, 0.63, 0.1234565, 0.1234575, 0.0000005, -0.0000005, 1.0000015, 0.3333333333, 123456.7890125, 2e6, 1234567.1234565, -5e11, float("nan"), None]
     rows = spark.createDataFrame([(v,) for v in odd], "c double").select("c", millionths(F.col("c")).alias("got"), (dec(F.col("c"), 6) * 1000000).cast("bigint").alias("want"))
     assert [r for r in rows.collect() if r["got"] != r["want"]] == []
+
+
+def test_both_means_come_from_one_vote(spark, base):
+    assert votes_in(queries()["avg_confidence"](spark, base)) == 1
+    rows = spark.createDataFrame([(1, "d", "hs_code", 0.9), (1, "d", "seal", 0.6), (1, "e", "seal", None)], "batch_id int, doc_id string, field string, confidence double")
+    got = {r["doc_id"]: (r["avg_confidence"], r["weighted_confidence"]) for r in vote.average_confidence(rows, both=True).collect()}
+    assert got == {"d": (0.75, 0.8), "e": (None, None)}
