@@ -50,3 +50,12 @@ def test_both_means_come_from_one_vote(spark, base):
     rows = spark.createDataFrame([(1, "d", "hs_code", 0.9), (1, "d", "seal", 0.6), (1, "e", "seal", None)], "batch_id int, doc_id string, field string, confidence double")
     got = {r["doc_id"]: (r["avg_confidence"], r["weighted_confidence"]) for r in vote.average_confidence(rows, both=True).collect()}
     assert got == {"d": (0.75, 0.8), "e": (None, None)}
+
+
+def test_a_capped_vote_is_taken_once(spark, base):
+    assert votes_in(queries()["confidence_cap"](spark, base)) == 1
+    fields = "batch_id int, doc_id string, doc_type string, field string, value string, confidence double"
+    rec = spark.createDataFrame([(1, "d", "bill_of_lading", f, "x", 0.9) for f in ("bl_number", "bl_date", "gross_weight", "vessel_name")] + [(1, "d", "bill_of_lading", "seal", "x", 0.9), (1, "e", "bill_of_lading", "bl_date", None, 0.95), (None, "f", "invoice", "bl_date", "x", 1.0)], fields)
+    docs = spark.createDataFrame([(1, "d", "bill_of_lading"), (1, "e", "bill_of_lading"), (1, "e", "bill_of_lading"), (None, "f", "invoice")], "batch_id int, doc_id string, doc_type string")
+    got = sorted((r["doc_id"], r["field"], r["route"], r["confidence"]) for r in vote.cap_confidence(rec, docs).collect())
+    assert got == sorted([("d", f, "STANDARD", 0.9) for f in ("bl_number", "bl_date", "gross_weight", "vessel_name", "seal")] + [("e", "bl_date", "DEGRADED", 0.8)] * 2)
