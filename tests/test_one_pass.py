@@ -59,3 +59,14 @@ def test_a_capped_vote_is_taken_once(spark, base):
     docs = spark.createDataFrame([(1, "d", "bill_of_lading"), (1, "e", "bill_of_lading"), (1, "e", "bill_of_lading"), (None, "f", "invoice")], "batch_id int, doc_id string, doc_type string")
     got = sorted((r["doc_id"], r["field"], r["route"], r["confidence"]) for r in vote.cap_confidence(rec, docs).collect())
     assert got == sorted([("d", f, "STANDARD", 0.9) for f in ("bl_number", "bl_date", "gross_weight", "vessel_name", "seal")] + [("e", "bl_date", "DEGRADED", 0.8)] * 2)
+
+
+def test_the_log_reads_the_values_that_corrections_kept(spark, base):
+    assert votes_in(queries()["correction_log"](spark, base)) == 1
+    rec = spark.createDataFrame([(1, "d", "a", "1"), (1, "d", "a", "2"), (1, "d", "b", None), (2, "e", "a", "1"), (None, "f", "a", "1")], "batch_id int, doc_id string, field string, value string")
+    rec = rec.withColumn("confidence", F.lit(0.5)).withColumn("source", F.lit("ensemble"))
+    fixes = [(1, "d", "a", "1", 1, 1), (1, "d", "b", "9", 1, 1), (2, "e", "c", "7", 1, 1), (None, "f", "a", "3", 1, 1)]
+    corr = spark.createDataFrame(fixes, "batch_id int, doc_id string, field string, corrected_value string, ts int, correction_id int")
+    met = vote.correction_log(rec, vote.apply_corrections(rec, corr))
+    kept = vote.correction_log(rec, vote.apply_corrections(rec, corr, keep_before=True))
+    assert met.columns == kept.columns and sorted(map(str, met.collect())) == sorted(map(str, kept.collect())) and met.count() == 6
