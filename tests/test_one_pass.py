@@ -70,3 +70,17 @@ def test_the_log_reads_the_values_that_corrections_kept(spark, base):
     met = vote.correction_log(rec, vote.apply_corrections(rec, corr))
     kept = vote.correction_log(rec, vote.apply_corrections(rec, corr, keep_before=True))
     assert met.columns == kept.columns and sorted(map(str, met.collect())) == sorted(map(str, kept.collect())) and met.count() == 6
+
+
+@pytest.mark.parametrize("name,wanted", [("cross_doc_tolerance", "= gross_weight"), ("cross_doc_match", "IN (bl_number,total_packages,vessel_name,voyage_number)"), ("cross_doc_match_scoped", "= total_packages")])
+def test_only_fields_that_a_rule_looks_at_are_voted(spark, base, name, wanted):
+    lines = plan_of(queries()[name](spark, base)).splitlines()
+    votes = [i for i, line in enumerate(lines) if "Generate inline(array(struct(field, " in line]
+    assert votes and all(f"Filter (field#" in lines[i - 1] + lines[i - 2] or f"Filter field#" in lines[i - 1] + lines[i - 2] for i in votes) and wanted in "".join(lines)
+
+
+def test_fields_that_no_rule_looks_at_change_nothing(spark):
+    rows = [(1, "a", "invoice", "gross_weight", "10"), (1, "b", "invoice", "gross_weight", "20"), (1, "b", "invoice", "net_weight", "99"), (1, "b", "invoice", None, "5")]
+    fields, rules = spark.createDataFrame(rows, "batch_id int, doc_id string, doc_type string, field string, value string"), load_rules(spark)
+    assert [(r["field"], r["values"], r["pct"]) for r in R.cross_document_tolerance(fields, rules).collect()] == [("gross_weight", 2, 50.0)]
+    assert R.looked_at(rules.where("fields is null")) == []
