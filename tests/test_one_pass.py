@@ -84,3 +84,13 @@ def test_fields_that_no_rule_looks_at_change_nothing(spark):
     fields, rules = spark.createDataFrame(rows, "batch_id int, doc_id string, doc_type string, field string, value string"), load_rules(spark)
     assert [(r["field"], r["values"], r["pct"]) for r in R.cross_document_tolerance(fields, rules).collect()] == [("gross_weight", 2, 50.0)]
     assert R.looked_at(rules.where("fields is null")) == []
+
+
+def test_mismatches_of_batches_that_fit_a_piece_are_found_in_one_pass(spark):
+    rows = [(1, "a", "total_packages", "5"), (1, "b", "total_packages", "6"), (1, "c", "total_packages", "6"), (1, "d", "total_packages", " "), (2, "a", "total_packages", "5"), (2, "b", "total_packages", "5"),
+            (2, "a", "gross_weight", "5"), (2, "b", "gross_weight", "6"), (None, "a", "vessel_name", "X"), (None, "b", "vessel_name", "Y"), (3, "a", "vessel_name", "X"), (3, "b", "vessel_name", "MV Y")]
+    fields, rules = spark.createDataFrame(rows, "batch_id int, doc_id string, field string, value string").withColumn("doc_type", F.lit("invoice")), load_rules(spark)
+    one, two = R.mismatched_values(fields, rules, crowded=False), R.mismatched_values(fields, rules)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sorted(map(str, [(r["batch_id"], r["form"], r["documents"]) for r in one.collect()])) == sorted(map(str, [(1, "5", 1), (1, "6", 2), (1, None, 1), (3, "X", 1), (3, "Y", 1)]))
+    assert plan_of(one).count("Window") and "SortMergeJoin" not in plan_of(one)
