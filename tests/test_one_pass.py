@@ -94,3 +94,14 @@ def test_mismatches_of_batches_that_fit_a_piece_are_found_in_one_pass(spark):
     assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert sorted(map(str, [(r["batch_id"], r["form"], r["documents"]) for r in one.collect()])) == sorted(map(str, [(1, "5", 1), (1, "6", 2), (1, None, 1), (3, "X", 1), (3, "Y", 1)]))
     assert plan_of(one).count("Window") and "SortMergeJoin" not in plan_of(one)
+
+
+def test_pages_of_batches_that_fit_a_piece_are_made_in_one_pass(spark, base):
+    from quayside.operators.ordered import pages
+
+    rows = [(b, f"d{n % 7}", n) for b in (1, 2, None) for n in range(23)] + [(1, None, 99)]
+    df = spark.createDataFrame(rows, "batch_id int, doc_id string, place int")
+    made = [pages(df, ["batch_id"], [F.col("doc_id"), F.col("place")], F.col("doc_id"), F.col("place"), 5, crowded) for crowded in (True, False)]
+    assert plan_of(made[1]).count("Scan") == 1
+    assert made[0].columns == made[1].columns and sorted(map(str, made[0].collect())) == sorted(map(str, made[1].collect())) and made[1].count() == 10
+    assert votes_in(queries()["batch_detail_pages"](spark, base)) == 3  # one of the small batches, two of the crowded ones
