@@ -31,14 +31,21 @@ def primary_fields(fields: DataFrame, corrections: DataFrame | None = None) -> D
     """Fields of the first document of each batch, with the operator's corrections in their place.
 
     ``corrections(batch_id, field, corrected_value, seq)`` name fields of the declaration: the last one of a field counts, one without a value changes nothing,
-    and a field that was never read enters. The corrected field stands before its aliases."""
-    first = fields.groupBy("batch_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = fields.join(first, ["batch_id", "doc_id"]).select("batch_id", "doc_id", "field", "value")
+    and a field that was never read enters. The corrected field stands before its aliases.
+
+    Everything meets by batch alone, so that fields which lie by batch are not moved: no document sorts below the first one, and the fields of the first
+    document, like the corrections of a batch, are packed before they meet."""
+    first = fields.groupBy("batch_id").agg(F.min("doc_id").alias("first_doc")).hint("shuffle_hash")
+    none = F.col("first_doc").isNull()  # no document of the batch has a name: nothing is kept, corrections enter
+    kept = fields.join(first, "batch_id").where((F.col("doc_id") <= F.col("first_doc")) | none)
     if corrections is None:
-        return kept
-    last = corrections.where("corrected_value IS NOT NULL").groupBy("batch_id", "field").agg(F.max_by("corrected_value", "seq").alias("corrected"))
-    entered = last.join(first, "batch_id").select("batch_id", "doc_id", "field", F.col("corrected").alias("value"))
-    return kept.join(last.select("batch_id", "field"), ["batch_id", "field"], "left_anti").select("batch_id", "doc_id", "field", "value").unionByName(entered)
+        return kept.where(~none).select("batch_id", "doc_id", "field", "value")
+    last = corrections.where("corrected_value IS NOT NULL").groupBy("batch_id", "field").agg(F.max_by("corrected_value", "seq").alias("value"))
+    fixes = last.groupBy("batch_id").agg(F.collect_list(F.struct("field", "value")).alias("fixes"))
+    read = kept.groupBy("batch_id", F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.when(~none, F.struct("field", "value"))).alias("read"))
+    fixed = lambda r: F.exists(F.col("fixes"), lambda f: F.coalesce(f["field"] == r["field"], F.lit(False)))
+    both = read.join(fixes, "batch_id", "left").withColumn("fixes", F.coalesce("fixes", F.array().cast(fixes.schema["fixes"].dataType)))
+    return both.select("batch_id", "doc_id", F.inline(F.concat(F.filter("read", lambda r: ~fixed(r)), F.col("fixes"))))
 
 
 def declaration_headers(fields: DataFrame) -> DataFrame:

@@ -105,3 +105,24 @@ def test_pages_of_batches_that_fit_a_piece_are_made_in_one_pass(spark, base):
     assert plan_of(made[1]).count("Scan") == 1
     assert made[0].columns == made[1].columns and sorted(map(str, made[0].collect())) == sorted(map(str, made[1].collect())) and made[1].count() == 10
     assert votes_in(queries()["batch_detail_pages"](spark, base)) == 3  # one of the small batches, two of the crowded ones
+
+
+def test_first_documents_and_their_corrections_meet_by_batch(spark):
+    from quayside.operators import assembly as A
+
+    rows = [(1, "b", "x", "1"), (1, "a", "x", "2"), (1, "a", "y", "3"), (1, "a", "x", "4"), (1, None, "x", "5"), (1, "a", None, "6"), (2, None, "x", "7"), (None, "a", "x", "8"), (3, "c", "x", None)]
+    fields = spark.createDataFrame(rows, "batch_id int, doc_id string, field string, value string")
+    corr = spark.createDataFrame([(1, "y", "30", 1), (1, "y", "31", 2), (1, "z", "40", 1), (1, "x", None, 9), (2, "x", "70", 1), (4, "x", "90", 1), (None, "x", "80", 1)], "batch_id int, field string, corrected_value string, seq int")
+    plain = [(1, "a", "x", "2"), (1, "a", "x", "4"), (1, "a", "y", "3"), (1, "a", None, "6"), (3, "c", "x", None)]
+    assert sorted(map(str, A.primary_fields(fields).collect())) == sorted(map(str, spark.createDataFrame(plain, fields.schema).collect()))
+    want = [(1, "a", "x", "2"), (1, "a", "x", "4"), (1, "a", "y", "31"), (1, "a", "z", "40"), (1, "a", None, "6"), (2, None, "x", "70"), (3, "c", "x", None)]
+    assert sorted(map(str, A.primary_fields(fields, corr).collect())) == sorted(map(str, spark.createDataFrame(want, fields.schema).collect()))
+
+
+def test_fields_of_a_declaration_are_not_moved_by_document(spark):
+    from quayside.operators import assembly as A
+
+    fields = spark.range(10).selectExpr("id AS batch_id", "'a' AS doc_id", "'x' AS field", "'1' AS value").repartition(64, "batch_id")
+    corr = spark.range(10).selectExpr("id AS batch_id", "'x' AS field", "'2' AS corrected_value", "1 AS seq")
+    moved = [line for line in plan_of(A.primary_fields(fields, corr)).splitlines() if "Exchange" in line]
+    assert not [line for line in moved if "doc_id" in line] and sum("ENSURE" in line for line in moved) <= 2  # the corrections only
